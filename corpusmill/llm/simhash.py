@@ -52,28 +52,39 @@ def shingle_digests(raw: bytes, size: int = SHINGLE) -> list[bytes]:
     return out
 
 
-def fingerprints(texts) -> np.ndarray:
-    """A fingerprint (uint64) for each text; zero where a text is null or has no words."""
+def fingerprints(texts, at_once: int = 1 << 18) -> np.ndarray:
+    """A fingerprint (uint64) for each text; zero where a text is null or has no words.
+
+    Digests are turned into bits for about ``at_once`` shingles at a time, so memory is bounded by that and one text.
+    """
+    out = np.zeros(len(texts), dtype=np.uint64)
     digests: list[bytes] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
+    sizes: list[int] = []
+    first = 0
     for i, text in enumerate(texts):
         found = shingle_digests(encoded(text).lower())
-        sizes[i] = len(found)
+        sizes.append(len(found))
         digests += found
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if not digests:
-        return out
+        if len(digests) >= at_once or i == len(texts) - 1:
+            if digests:
+                out[first : i + 1] = _majorities(digests, np.array(sizes))
+            digests, sizes, first = [], [], i + 1
+    return out
+
+
+def _majorities(digests: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The bits set in over half the digests of each text; each byte lane counts one bit for up to 255 hashes."""
     h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
+    out = np.zeros(len(sizes), dtype=np.uint64)
     some = np.flatnonzero(sizes)
     starts = np.cumsum(sizes) - sizes
-    # Each byte lane counts one bit for up to 255 hashes; then lanes are summed as integers.
     pieces = [np.arange(starts[i], starts[i] + sizes[i], 255) for i in some]
     at = np.concatenate(pieces)
     lens = np.array([len(p) for p in pieces])
-    first = np.cumsum(lens) - lens
+    begin = np.cumsum(lens) - lens
     for b in range(8):
         lanes = np.add.reduceat((h >> np.uint64(b)) & _LANES, at)
-        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), begin, axis=0)
         ones = (2 * counts > sizes[some][:, None]).astype(np.uint64)
         for j in range(8):
             out[some] |= ones[:, j] << np.uint64(8 * j + b)
