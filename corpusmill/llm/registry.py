@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import sharding, simhash
+from corpusmill.llm import packing, sharding, simhash, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,10 @@ def queries() -> dict:
     return {
         "op1_simhash": simhash.op1,
         "op2_sharding": sharding.op2,
+        "op3_topk": topk.op3,
+        "op4_packing": packing.op4,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.op2_sql()}
+    return {"op2_sharding": sharding.op2_sql(), "op3_topk": topk.OP3_SQL}
