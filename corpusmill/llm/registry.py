@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, sharding, simhash, topk
+from corpusmill.llm import chat, mixing, packing, sharding, simhash, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,10 @@ def queries() -> dict:
         "op2_sharding": sharding.op2,
         "op3_topk": topk.op3,
         "op4_packing": packing.op4,
+        "op6_chat": chat.op6,
+        "op8_mixing": mixing.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.op2_sql(), "op3_topk": topk.OP3_SQL}
+    return {"op2_sharding": sharding.op2_sql(), "op3_topk": topk.OP3_SQL, "op6_chat": chat.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
