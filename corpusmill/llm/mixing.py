@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.sharding import slot_hash
 from corpusmill.storage import materialize, table
 
-BINS = 1 << 16
+BINS = 1 << 12
 MOST_EPOCHS = 3
 LEAST_WEIGHT = 0.05
 WORD = r"[^\x20\x09-\x0D]+"
