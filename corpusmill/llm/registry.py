@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import chat, mixing, packing, sharding, simhash, topk
+from corpusmill.llm import chat, langid, mixing, packing, quality, sharding, simhash, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,9 @@ def queries() -> dict:
         "op2_sharding": sharding.op2,
         "op3_topk": topk.op3,
         "op4_packing": packing.op4,
+        "op5_langid": langid.op5,
         "op6_chat": chat.op6,
+        "op7_quality": quality.op7,
         "op8_mixing": mixing.op8,
     }
 
