@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import chat, html, langid, mixing, packing, quality, sharding, simhash, topk
+from corpusmill.llm import chat, html, langid, lm, mixing, packing, quality, sharding, simhash, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op6_chat": chat.op6,
         "op7_quality": quality.op7,
         "op8_mixing": mixing.op8,
+        "op9_lm": lm.op9,
         "op10_html": html.op10,
         "pipeline": pipeline,
     }
