@@ -9,7 +9,8 @@ from the counts of the other. EM runs on a histogram of the estimates' ratios, w
 Counts are exact over all training documents and are never gathered in one place. Documents are cut into blocks of about
 ``BLOCK_TOKENS`` tokens. A block sends its distinct words and bigrams with their counts to buckets of the key space, as
 arrays; a bucket adds them up and answers every block with totals in the order of the question. Words are counted by their
-bytes, bigrams by 64-bit hashes. A word or bigram of any frequency is one entry in each block, so no key is hot.
+bytes, bigrams by hashes with ``SPARE_BITS`` bits more than the number of tokens needs, and 64 at most, so that about one
+bigram in a million shares its hash. A word or bigram of any frequency is one entry in each block, so no key is hot.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ from corpusmill.session import ship
 from corpusmill.storage import discard, materialize, table
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 1 << 21
-BUCKET_TOKENS = 1 << 22  # training and test tokens for each bucket of the key space
+BLOCK_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 21  # training and test tokens for each bucket of the key space
+SPARE_BITS = 20
 STEPS, REACH = 4, 200  # of the histogram: steps in an octave, and the most steps to either side
 MOST_CONTEXT = 24  # contexts seen 2**24 times or more share a bucket
 EM_ROUNDS = 100
@@ -48,13 +51,13 @@ SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_token
 
 
 def packed(a: np.ndarray) -> bytes:
-    """Non-negative integers in the smallest type that holds them all, with the type in front."""
+    """Non-negative integers in the smallest type that holds them all, compressed, with the type in front."""
     kind = next(k for k, t in enumerate(_KINDS) if not len(a) or int(a.max()) <= np.iinfo(t).max)
-    return bytes([kind]) + a.astype(_KINDS[kind]).tobytes()
+    return bytes([kind]) + zstandard.compress(a.astype(_KINDS[kind]).tobytes(), 1)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=_KINDS[raw[0]], offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.decompress(raw[1:]), dtype=_KINDS[raw[0]]).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[dict]:
@@ -65,14 +68,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[dict]:
     size, number = 0, count(first)
 
     def block() -> dict:
-        words = b"\n".join(known)
         return {
             "block": next(number),
             "tokens": size,
             "doc_ids": [d for d, _, _ in docs],
             "parts": bytes(p for _, p, _ in docs),
             "lengths": packed(np.array([n for _, _, n in docs], dtype=np.int64)),
-            "words": words,
+            "words": zstandard.compress(b"\n".join(known), 1),
             "ids": packed(np.concatenate(ids)),
         }
 
@@ -97,8 +99,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[dict]:
 class Block:
     """A block's tokens, words and bigrams. Words and bigrams are in the order of their keys."""
 
-    def __init__(self, parts: bytes, lengths: bytes, words: bytes, ids: bytes):
-        self.words = words.split(b"\n")
+    def __init__(self, parts: bytes, lengths: bytes, words: bytes, ids: bytes, bits: int):
+        self.words = zstandard.decompress(words).split(b"\n")
         self.parts = np.frombuffer(parts, dtype=np.uint8)
         self.lengths = unpacked(lengths)
         self.ids = unpacked(ids)
@@ -114,9 +116,10 @@ class Block:
         first, second = pairs // n, pairs % n
         left = np.append(hashes, _START)[first]
         keys = ((left * _ODD) ^ ((left * _ODD) >> np.uint64(31))) + hashes[second] * _MORE
-        keys = (keys ^ (keys >> np.uint64(29))) * _ODD
+        keys = ((keys ^ (keys >> np.uint64(29))) * _ODD) >> np.uint64(64 - bits)
         self.key_order = np.argsort(keys, kind="stable")
         self.keys, self.first, self.second = keys[self.key_order], first, second
+        self.bits = bits
         self.part_of_token = np.repeat(self.parts, self.lengths)
 
     def counts(self, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +127,13 @@ class Block:
         own = self.part_of_token == part
         return np.bincount(self.ids[own], minlength=len(self.words))[self.word_order], np.bincount(self.bigrams[own], minlength=len(self.keys))[self.key_order]
 
-    def cuts(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where each bucket of the key space begins among words and bigrams, and the ends."""
-        marks = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], dtype=np.uint64)
-        return tuple(np.concatenate([[0], np.searchsorted(x, marks), [len(x)]]) for x in (self.word_keys, self.keys))
+    def cuts(self, buckets: int) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
+        """For each bucket with words or bigrams of this block: its number, which they are, and the bigrams' keys from its begin."""
+        w, k = (((x >> np.uint64(n - 32)) * np.uint64(buckets)) >> np.uint64(32) for x, n in ((self.word_keys, 64), (self.keys, self.bits)))
+        some = np.union1d(w, k)
+        ends = [np.searchsorted(x, some, side).tolist() for x in (w, k) for side in ("left", "right")]
+        for i, w0, w1, k0, k1 in zip(some.tolist(), *ends):
+            yield i, slice(w0, w1), slice(k0, k1), self.keys[k0:k1] - np.uint64(((i << 32) // buckets) << (self.bits - 32))
 
     def totals(self, answers: Iterable[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Totals (part, word) and (part, bigram) in local order, from the buckets' answers in order."""
@@ -140,28 +146,26 @@ class Block:
         return tuple(out)
 
 
-def _sent(blocks: pd.DataFrame, buckets: int) -> Iterator[tuple]:
+def _sent(blocks: pd.DataFrame, buckets: int, bits: int) -> Iterator[tuple]:
     """Rows of SENT: what each block sends to the buckets in which it has words or bigrams."""
     for row in blocks.itertuples(index=False):
-        b = Block(row.parts, row.lengths, row.words, row.ids)
+        b = Block(row.parts, row.lengths, row.words, row.ids, bits)
         (wa, ka), (wb, kb) = b.counts(1), b.counts(2)
         words = [b.words[i] for i in b.word_order]
-        w, k = b.cuts(buckets)
-        for i in range(buckets):
-            ws, ks = slice(w[i], w[i + 1]), slice(k[i], k[i + 1])
-            if ws.start < ws.stop or ks.start < ks.stop:
-                yield i, row.block, b"\n".join([b"", *words[ws]]), packed(np.concatenate([wa[ws], wb[ws]])), b.keys[ks].astype("<u8").tobytes(), packed(np.concatenate([ka[ks], kb[ks]]))
+        for i, w, k, keys in b.cuts(buckets):
+            gaps = np.diff(keys, prepend=np.uint64(0))
+            yield i, row.block, zstandard.compress(b"\n".join([b"", *words[w]]), 1), packed(np.concatenate([wa[w], wb[w]])), packed(gaps), packed(np.concatenate([ka[k], kb[k]]))
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals over all blocks for one bucket, and how many of its words are in training."""
     totals: tuple[Counter, Counter] = (Counter(), Counter())
-    asked = [x.split(b"\n")[1:] for x in rows["words"]]
+    asked = [zstandard.decompress(x).split(b"\n")[1:] for x in rows["words"]]
     for words, raw in zip(asked, rows["word_counts"]):
         for total, counts in zip(totals, unpacked(raw).reshape(2, -1)):
             for i in np.flatnonzero(counts).tolist():
                 total[words[i]] += int(counts[i])
-    keys = [np.frombuffer(x, dtype="<u8") for x in rows["keys"]]
+    keys = [np.cumsum(unpacked(x)) for x in rows["keys"]]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     each = [unpacked(x).reshape(2, -1) for x in rows["key_counts"]]
     sums = [np.bincount(at, weights=np.concatenate([x[p] for x in each]), minlength=len(distinct)).astype(np.int64) for p in (0, 1)]
@@ -201,7 +205,7 @@ def _histogram(blocks: pd.DataFrame, sums: dict) -> Iterator[tuple]:
     uniform = 1 / (sums["distinct"] + 1)
     found: Counter = Counter()
     for row in blocks.itertuples(index=False):
-        b = Block(row.parts, row.lengths, row.words, row.ids)
+        b = Block(row.parts, row.lengths, row.words, row.ids, sums["bits"])
         words, pairs = b.totals(row.answers)
         for own, other in ((1, 1), (2, 0)):  # the tokens of part 1 under the counts of part 2, and the other way round
             n = np.bincount(b.bigrams[b.part_of_token == own], minlength=len(b.first))
@@ -240,7 +244,7 @@ def _scores(blocks: pd.DataFrame, sums: dict, weights: np.ndarray) -> pd.DataFra
     total, distinct = sum(sums["tokens"]), sums["distinct"]
     frames = []
     for row in blocks.itertuples(index=False):
-        b = Block(row.parts, row.lengths, row.words, row.ids)
+        b = Block(row.parts, row.lengths, row.words, row.ids, sums["bits"])
         words, pairs = (x.sum(axis=0) for x in b.totals(row.answers))
         context, p1, p2 = estimates(words, pairs, b.first, b.second, sum(sums["starts"]), total)
         w = weights[context_bucket(context)]
@@ -296,12 +300,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds)], list(row))
 
     blocks = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), part.alias("part")).mapInArrow(cut, BLOCK), "blocks")
-    buckets = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
-    sent = blocks.select("block", "parts", "lengths", "words", "ids").mapInPandas(_frames(lambda f: _sent(f, buckets), [x.split()[0] for x in SENT.split(", ")]), SENT)
+    everything = blocks.agg(F.sum("tokens")).first()[0] or 0
+    buckets, bits = max(1, -(-everything // BUCKET_TOKENS)), min(64, max(32, SPARE_BITS + everything.bit_length()))
+    sent = blocks.select("block", "parts", "lengths", "words", "ids").mapInPandas(_frames(lambda f: _sent(f, buckets, bits), [x.split()[0] for x in SENT.split(", ")]), SENT)
     answers = materialize(sent.groupBy("bucket").applyInPandas(_answer, ANSWER), "answers")
     parts = blocks.select("parts", "lengths").mapInPandas(_frames(_part_sums, ["part", "tokens", "docs"]), "part int, tokens long, docs long").groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()
     size = {r["part"]: (r["tokens"], r["docs"]) for r in parts}
-    sums = {"distinct": answers.agg(F.sum("train_words")).first()[0] or 0, "tokens": [size.get(p, (0, 0))[0] for p in (1, 2)], "starts": [size.get(p, (0, 0))[1] for p in (1, 2)]}
+    sums = {"bits": bits, "distinct": answers.agg(F.sum("train_words")).first()[0] or 0, "tokens": [size.get(p, (0, 0))[0] for p in (1, 2)], "starts": [size.get(p, (0, 0))[1] for p in (1, 2)]}
     of_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "word_counts", "key_counts"))).alias("a"))
     joined = blocks.drop("tokens").join(of_block, "block").withColumn("answers", F.transform("a", lambda x: F.struct(x["word_counts"], x["key_counts"]))).drop("a")
     answered = materialize(joined, "answered")
