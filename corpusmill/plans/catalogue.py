@@ -1,4 +1,6 @@
-"""The queries of the engine by name, and their SQL."""
+"""All queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusmill.plans import ingest, scalar, search  # noqa: F401
+from corpusmill.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
