@@ -8,7 +8,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LEFT: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +70,11 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df`` from file sizes: costs no job. For choosing numbers of partitions only."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

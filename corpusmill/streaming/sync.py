@@ -31,16 +31,16 @@ class Store:
         self._fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p}")
 
-    def version(self) -> int | None:
-        """The last version that was completed."""
+    def version(self, before: int | None = None) -> int | None:
+        """The last version that was completed, and that is below ``before`` if given."""
         if not self._fs.exists(self._path("versions")):
             return None
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path("versions"))]
-        return max((int(n) for n in names if n.isdigit()), default=None)
+        return max((int(n) for n in names if n.isdigit() and (before is None or int(n) < before)), default=None)
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, before: int | None = None) -> DataFrame:
         """A table as of the last version; empty if there is none. A column that an old version lacks is null."""
-        at = self.version()
+        at = self.version(before)
         schema = TABLES[name]
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}")
 
@@ -58,7 +58,7 @@ class Store:
 def apply(store: Store, pages: DataFrame, version: int) -> DataFrame:
     """Sync ``pages`` (PAGES) into the next version; gives the run's summary. Of repeated urls the last lastmod counts."""
     pages = pages.groupBy("url").agg(F.max_by(F.struct("lastmod", "title", "subject", "html"), F.struct("lastmod", "html")).alias("p")).select("url", "p.*")
-    documents, chunks, skips = (store.read(n) for n in TABLES)
+    documents, chunks, skips = (store.read(n, version) for n in TABLES)
     planned = sync.plan(pages.drop("html"), documents, skips)
     to_fetch = pages.join(planned.where(F.col("action") == sync.FETCH).select("url"), "url", "left_semi")
     named = to_fetch.select("url", "lastmod", "subject", F.col("title").alias("object_title"))
