@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from corpusmill.session import ship
-from corpusmill.storage import table
+from corpusmill.storage import all_columns, table
 
 BITS = 12
 DIMS = 1 << BITS
@@ -171,7 +171,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a known language, with all their columns: not ``und``, and a score of LEAST_SCORE or more."""
     spark = ship(docs.sparkSession)
-    columns = docs.columns
+    columns = all_columns(docs)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return docs.withColumn("__cm_lang", predictor(spark, model)("text")).where((F.col("__cm_lang.lang_pred") != UNKNOWN) & (F.col("__cm_lang.score") >= LEAST_SCORE)).select(*columns)
 

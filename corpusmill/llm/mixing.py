@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.sharding import slot_hash
-from corpusmill.storage import materialize, table
+from corpusmill.storage import all_columns, materialize, table
 
 BINS = 1 << 12
 MOST_EPOCHS = 3
@@ -98,7 +98,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    columns = docs.columns
+    columns = all_columns(docs)
     rows = materialize(docs.withColumn("__cm_row", F.monotonically_increasing_id()), "rows")
     often = taken(_keyed(rows, F.col("__cm_row"))).where("taken > 0").select("__cm_row", (F.col("taken") / F.col("size")).cast("int").alias("__cm_often"))
     return rows.join(often, "__cm_row").withColumn("__cm_copy", F.explode(F.sequence(F.lit(1), F.col("__cm_often")))).select(*columns)

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusmill.llm.text import SPACE, encoded, word_blocks
 from corpusmill.session import ship
-from corpusmill.storage import materialize, table
+from corpusmill.storage import all_columns, materialize, table
 
 BUCKET_BITS = 18
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
@@ -203,7 +203,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    columns = docs.columns
+    columns = all_columns(docs)
     scored, trusted = _scored(docs, labels)
     rows = materialize(scored.withColumn("__cm_row", F.monotonically_increasing_id()), "scored")
     kept = _verdicts(rows.select("doc_id", "__cm_row", "__cm_q.*"), trusted).where("kept").select("__cm_row")
