@@ -4,9 +4,10 @@ Each document has the key ``u ** (1 / weight)``: ``u`` is uniform from a hash of
 a source the largest keys come first. A source's target first pays for complete epochs over all its documents; what is
 left is a budget in words, and the documents are taken in the order of their keys until their prefix sum fills it.
 
-No source is sorted as a whole. Keys fall into ``BINS`` bins, sums over (source, bin) are combined before they are shuffled,
-and their prefix sums say which bin holds the end of the budget. Bins before it are taken, bins after it are not, and
-only the documents of that one bin are sorted.
+No source is sorted as a whole. Keys fall into ``BINS`` bins on a scale on which they spread alike for every weight; sums over
+(source, bin) are combined before they are shuffled, and their prefix sums say which bin holds the end of the budget. That bin is
+cut into ``BINS`` finer ones in the same way. What lies before the end is taken, what lies after it is not, and only the
+documents of one fine bin are sorted: less than one in a million of a source.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from corpusmill.llm.sharding import slot_hash
 from corpusmill.storage import all_columns, materialize, table
 
 BINS = 1 << 12
+LEAST_LOG, MOST_LOG = -22.0, 8.0  # of the logarithms of exponentials that the bins tell apart
 MOST_EPOCHS = 3
 LEAST_WEIGHT = 0.05
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,31 +62,47 @@ def targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return weighed.select("source", "source_size", target.alias("target"))
 
 
+def _end(words: DataFrame, plan: DataFrame, by: str) -> DataFrame:
+    """(s, last, before): the place ``by`` at which the sum of ``words`` (source, ``by``, words), after what came before it, fills a budget."""
+    upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    sums = words.groupBy("source", by).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+    filled = sums.join(plan.select("s", "budget", "before"), F.col("source").eqNullSafe(F.col("s"))).withColumn("upto", F.col("before") + F.col("upto")).where("upto >= budget")
+    return filled.groupBy("s").agg(F.min(F.struct(by, (F.col("upto") - F.col("words")).alias("before"))).alias("end")).select(F.col("s").alias("t"), F.col(f"end.{by}").alias(f"last_{by}"), F.col("end.before").alias("until"))
+
+
 def taken(sized: DataFrame) -> DataFrame:
-    """``sized`` (source, size, doc_id, key, any more) with source_size, target and taken, the words the mix takes.
+    """``sized`` (source, size, doc_id, key, bin, fine, any more) with source_size, target and taken, the words the mix takes.
 
     The document in which the budget ends is taken if at least half of it fits. Equal keys go by doc_id, nulls last.
     """
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = bins.withColumn("upto", F.sum("words").over(upto)).join(plan.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
-    ends = ends.where("upto >= budget").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("end")).select(F.col("source").alias("s"), F.col("end.bin").alias("last_bin"), "end.before")
-    plan = materialize(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s"), "plan")
+    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s").withColumn("before", F.lit(0).cast("long"))
+    for by in ("bin", "fine"):
+        rows = sized if by == "bin" else sized.join(plan.select(F.col("s").alias("of"), "last_bin"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("last_bin")))
+        end = _end(rows.select("source", by, "size"), plan, by)
+        plan = materialize(plan.join(end, F.col("s").eqNullSafe(F.col("t")), "left").withColumn("before", F.coalesce("until", "before")).drop("t", "until"), "plan")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     last = Window.partitionBy("source").orderBy(F.desc("key"), F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    at_end = rows.where("bin = last_bin").withColumn("prefix", F.col("before") + F.sum("size").over(last) - F.col("size")).withColumn("extra", F.when(F.col("prefix") + F.col("size") / 2 <= F.col("budget"), F.col("size")).otherwise(0)).drop("prefix")
-    others = rows.where("NOT (bin <=> last_bin)").withColumn("extra", F.when(F.col("bin") > F.col("last_bin"), 0).otherwise(F.col("size")))
-    return at_end.unionByName(others).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")).drop("epochs", "budget", "last_bin", "before", "extra")
+    at_end = rows.where("bin = last_bin AND fine = last_fine").withColumn("prefix", F.col("before") + F.sum("size").over(last) - F.col("size")).withColumn("extra", F.when(F.col("prefix") + F.col("size") / 2 <= F.col("budget"), F.col("size")).otherwise(0)).drop("prefix")
+    after = (F.col("bin") > F.col("last_bin")) | ((F.col("bin") == F.col("last_bin")) & (F.col("fine") > F.col("last_fine")))
+    others = rows.where("NOT (bin <=> last_bin AND fine <=> last_fine)").withColumn("extra", F.when(after, 0).otherwise(F.col("size")))
+    done = at_end.unionByName(others).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long"))
+    return done.drop("epochs", "budget", "last_bin", "last_fine", "before", "extra")
+
+
+def place(key: Column) -> Column:
+    """From 0 for the largest keys to under 1 for the smallest: the logarithm of the exponential that a key stands for."""
+    of = (F.log(-F.log(key)) - LEAST_LOG) / (MOST_LOG - LEAST_LOG)
+    return F.when(key <= 0, 1 - 2.0**-30).when(key >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1 - 2.0**-30), of)))
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     size = size_of(F.col("text"))
     sized = docs.select("doc_id", "source", size.alias("size"), quality(size, F.col("text")).alias("weight"), *more)
     keyed = sized.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"))).drop("weight")
-    return materialize(keyed.withColumn("bin", (BINS - 1 - F.least(F.lit(BINS - 1), F.floor(F.col("key") * BINS))).cast("int")), "keyed")
+    cell = F.floor(place(F.col("key")) * BINS * BINS)
+    return materialize(keyed.withColumns({"bin": F.floor(cell / BINS).cast("int"), "fine": (cell % BINS).cast("int")}), "keyed")
 
 
 def mix(docs: DataFrame) -> DataFrame:
