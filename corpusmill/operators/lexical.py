@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.storage import bounded, materialize
 
 # The weight of each field, and the parameters of BM25.
 WEIGHTS = {"title": 2.0, "subject": 1.0, "heading": 1.5, "text": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOP = 20
+MOST_BROADCAST = 100_000  # terms, of some ten bytes each
 
 
-def tokenised(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(chunk_id, length, words): the tokens of a chunk's fields with their weights, and how many there are."""
+def token_rows(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(chunk_id, w, term): a row for each token of a chunk's fields, with the field's weight.
+
+    Fields become rows before they are cut into tokens, so that the generated code has one tokenizer and stays small enough to be
+    compiled: with one for each field in a stage it took ten times as long.
+    """
+    fields = F.array(*(F.struct(F.lit(w).alias("w"), F.coalesce(F.col(f), F.lit("")).alias("field")) for f, w in (weights or WEIGHTS).items()))
+    return chunks.select("chunk_id", F.inline(fields)).select("chunk_id", "w", F.explode(T.index_tokens(F.col("field"))).alias("term"))
 
 
-    def weighed(field: str, weight: float) -> Column:
-        return F.transform(T.index_tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def postings(tokens: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, wf, length): the inverted index, with plain and weighted frequencies and the chunk's length."""
+    counts = tokens.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sum("w").alias("wf"))
+    return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
-    words = F.concat(*(weighed(f, w) for f, w in (weights or WEIGHTS).items()))
-    return chunks.select("chunk_id", words.alias("words")).withColumn("length", F.size("words"))
 
+def matches(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, length, hits): the length of each chunk, and the terms that it has of ``terms`` with weighted frequencies.
 
-def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf, wf, length) with plain and weighted frequencies; only of ``terms`` (term, distinct) if given."""
-    rows = tokens.select("chunk_id", "length", F.inline("words"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"), F.sum("w").alias("wf"))
+    The text is read and cut into tokens once. Tokens that no question asks for fall together as null before they are shuffled, so a
+    chunk sends one row for each term that it matches, and one more. The terms are broadcast if there are few enough.
+    """
+    asked = bounded(terms.select("term", F.lit(True).alias("is_asked")), MOST_BROADCAST, "terms")
+    rows = tokens.join(asked, "term", "left")
+    counts = rows.groupBy("chunk_id", F.when(F.col("is_asked"), F.col("term")).alias("term")).agg(F.count("*").alias("n"), F.sum("w").alias("wf"))
+    hit = F.when(F.col("term").isNotNull(), F.struct("term", "wf"))
+    return counts.groupBy("chunk_id").agg(F.sum("n").alias("length"), F.collect_list(hit).alias("hits"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -43,10 +55,11 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFram
     Chunks with all terms come before others, then by score, then by chunk_id. Scores are positive and rounded to 12 places, so that
     the order of summation decides nothing.
     """
-    tokens = tokenised(chunks)
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))  # one row
-    asked = question_terms(questions)
-    hits = postings(tokens, asked.select("term").distinct())
+    asked = materialize(question_terms(questions), "asked")
+    found = materialize(matches(token_rows(chunks), asked.select("term").distinct()), "matches")
+    empty = chunks.count() - found.count()  # chunks without a token are counted, too
+    stats = found.agg((F.count("*") + empty).alias("n"), (F.sum("length") / (F.count("*") + empty)).alias("avg_length"))  # one row
+    hits = found.select("chunk_id", "length", F.inline("hits"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weighed = hits.join(df, "term").join(F.broadcast(stats))

@@ -10,7 +10,7 @@ from corpusmill.models import EchoGenerator, HashEmbedder
 from corpusmill.operators import answers, audit, hybrid, lexical, vectors
 from corpusmill.plans.base import CORPUS, SETTINGS, corpus, literal, query, questions, values
 from corpusmill.plans.scalar import ASKED_TERMS
-from corpusmill.storage import materialize, table
+from corpusmill.storage import bounded, materialize, table
 
 K = 6
 MODEL = SETTINGS.embedding_model
@@ -30,9 +30,9 @@ lex AS (SELECT * FROM (SELECT s.*, n_terms, row_number() OVER (PARTITION BY qid
   FROM scored s JOIN (SELECT qid, count(*) AS n_terms FROM asked GROUP BY qid) USING (qid)) WHERE lexical_rank <= {lexical.TOP})"""
 
 
-@query(f"WITH {WORDS} SELECT term, chunk_id, length::INTEGER AS length, count(*) AS tf, sum(w)::DOUBLE AS wf FROM words JOIN lens USING (chunk_id) GROUP BY ALL")
+@query(f"WITH {WORDS} SELECT term, chunk_id, length, count(*) AS tf, sum(w)::DOUBLE AS wf FROM words JOIN lens USING (chunk_id) GROUP BY ALL")
 def postings(spark, sf_dir):
-    return lexical.postings(lexical.tokenised(corpus(spark, sf_dir)))
+    return lexical.postings(lexical.token_rows(corpus(spark, sf_dir)))
 
 
 @query(f"WITH {LEXICAL} SELECT qid, chunk_id, matched, n_terms, round(bm25, 6) AS bm25, lexical_rank::INTEGER AS lexical_rank FROM lex")
@@ -221,13 +221,16 @@ _EXPECTED = "expected AS (SELECT q0.qid, max(c.url) AS expected FROM q0 LEFT JOI
 
 
 def _cases(spark, sf_dir):
-    """A case expects a document that has its passage in full. Passages are found by their first twelve-word shingle, then compared."""
+    """A case expects a document that has its passage in full. Documents that share four words in a row with it are compared whole."""
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    n = 12
-    asked = questions(spark, sf_dir).where(F.length("question") >= 40).select("qid", "question", F.array_join(F.slice(words(F.col("question")), 2, n), " ").alias("key"))
-    texts = corpus(spark, sf_dir).select("url", "text", words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    keyed = texts.select("url", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("key"))
-    met = keyed.join(F.broadcast(asked), "key").where(F.col("text").contains(F.col("question"))).groupBy("qid").agg(F.max("url").alias("expected"))
+    four = lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(4)))
+    asked = questions(spark, sf_dir).where(F.length("question") >= 40).withColumn("w", words(F.col("question"))).select("qid", "question", four(F.lit(1)).alias("key"))
+    asked = bounded(asked, 100_000, "passages")
+    texts = corpus(spark, sf_dir)
+    grams = texts.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), four)).alias("key"))
+    near = grams.join(asked.select("qid", "key"), "key").select("qid", "chunk_id").distinct()
+    met = near.join(texts.select("chunk_id", "url", "text"), "chunk_id").join(asked.select("qid", "question"), "qid").where(F.col("text").contains(F.col("question")))
+    met = met.groupBy("qid").agg(F.max("url").alias("expected"))
     return questions(spark, sf_dir).select("qid").join(met, "qid", "left").withColumn("should_answer", F.col("expected").isNotNull())
 
 

@@ -14,9 +14,24 @@ from pyspark.sql import functions as F
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
+SMALL_BYTES, SPLIT_BYTES = 1 << 20, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data folder, in whatever store Spark can read."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The Parquet table ``name`` of a data folder, in whatever store Spark can read.
+
+    A table of some megabytes is often one row group, which is one task whatever the number of cores: where it has less than
+    ``SPLIT_BYTES`` for each core, its rows are dealt out. Larger tables are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if SMALL_BYTES <= estimated_bytes(df) < SPLIT_BYTES * cores else df
+
+
+def bounded(df: DataFrame, most_rows: int, name: str = "bounded") -> DataFrame:
+    """``df``, written to the shared folder, with a hint to broadcast it if it has at most ``most_rows`` rows."""
+    out = materialize(df, name)
+    return F.broadcast(out) if out.count() <= most_rows else out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,4 +92,4 @@ def all_columns(df: DataFrame) -> list[Column]:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df`` from file sizes: costs no job. For choosing numbers of partitions only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
