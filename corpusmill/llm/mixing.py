@@ -100,9 +100,9 @@ def place(key: Column) -> Column:
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     size = size_of(F.col("text"))
     sized = docs.select("doc_id", "source", size.alias("size"), quality(size, F.col("text")).alias("weight"), *more)
-    keyed = sized.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"))).drop("weight")
-    cell = F.floor(place(F.col("key")) * BINS * BINS)
-    return materialize(keyed.withColumns({"bin": F.floor(cell / BINS).cast("int"), "fine": (cell % BINS).cast("int")}), "keyed")
+    keyed = materialize(sized.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight"))).drop("weight"), "keyed")
+    cell = F.floor(place(F.col("key")) * BINS * BINS)  # after the texts are read: a key that is named often would be computed as often
+    return keyed.withColumns({"bin": F.floor(cell / BINS).cast("int"), "fine": (cell % BINS).cast("int")})
 
 
 def mix(docs: DataFrame) -> DataFrame:
