@@ -56,39 +56,45 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 40, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and a scale of margins of a linear SVM for labels -1 and 1, by averaged subgradient steps in a fixed order."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 40, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights, the last for a constant, and a scale of margins of a linear SVM on some ``rows`` of x with labels -1 and 1.
+
+    Averaged subgradient steps in a fixed order; x is not copied as a whole.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     mean, steps = np.zeros_like(w), 0
     rng = np.random.default_rng(7)
     for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for start in range(0, len(x), 64):
+        order = rng.permutation(len(rows))
+        for start in range(0, len(rows), 64):
             at = order[start : start + 64]
+            some = x[rows[at]]
             steps += 1
-            wrong = at[y[at] * (x[at] @ w) < 1]
+            wrong = y[at] * (some @ w[:-1] + w[-1]) < 1
             w *= 1 - 1 / (steps + 10)
-            if len(wrong):
-                w += (weight[wrong] * y[wrong]) @ x[wrong] / (len(at) * penalty * (steps + 10))
+            if wrong.any():
+                pull = weight[at][wrong] * y[at][wrong] / (len(at) * penalty * (steps + 10))
+                w[:-1] += pull @ some[wrong]
+                w[-1] += pull.sum()
             if epoch >= epochs // 2:
                 mean += w
     mean /= max(1, np.linalg.norm(mean))
-    margins = np.abs(x @ mean)
+    margins = np.abs((x @ mean[:-1].astype(x.dtype))[rows] + mean[-1])
     return mean, float(3 / max(1e-9, np.median(margins)))
 
 
 class Vote:
     """One-versus-one machines between classes; the winner and its probability."""
 
-    def __init__(self, classes: list[str], x: np.ndarray, labels: np.ndarray):
-        self.classes = sorted(classes)
+    def __init__(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray):
+        """``labels`` are those of ``rows`` of x."""
+        self.classes = sorted(set(labels))
         self.pairs = list(combinations(range(len(self.classes)), 2))
         fitted = []
         for a, b in self.pairs:
             own = (labels == self.classes[a]) | (labels == self.classes[b])
-            fitted.append(fit_svm(x[own], np.where(labels[own] == self.classes[a], 1.0, -1.0)))
+            fitted.append(fit_svm(x, rows[own], np.where(labels[own] == self.classes[a], 1.0, -1.0)))
         self.weights = np.array([w for w, _ in fitted]).reshape(len(fitted), DIMS + 1)
         self.scales = np.array([s for _, s in fitted])
 
@@ -109,8 +115,8 @@ class Vote:
 class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         family = np.array([FAMILY_OF.get(x.lower().split("-")[0], "other") for x in langs], dtype=object)
-        self.families = Vote(list(set(family)), x, family) if len(langs) else None
-        self.within = {f: Vote(list(set(langs[family == f])), x[family == f], langs[family == f]) for f in set(family)}
+        self.families = Vote(x, np.arange(len(x)), family) if len(langs) else None
+        self.within = {f: Vote(x, own, langs[own]) for f in set(family) for own in [np.flatnonzero(family == f)]}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or self.families is None or not has_letter(text):
@@ -123,7 +129,7 @@ class Model:
 
 @F.pandas_udf(BinaryType())
 def _packed(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t).tobytes() for t in texts])
+    return pd.Series([features(t).astype(np.float16).tobytes() for t in texts])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model:
@@ -138,8 +144,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> M
     few = Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"))
     rows = near.select("lang", _packed("text").alias("x"), F.row_number().over(few).alias("k")).where(F.col("k") <= most).collect()
     rows.sort(key=lambda r: (r["lang"], r["k"]))
-    x = np.stack([np.frombuffer(bytes(r["x"]), dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
-    return Model(x, np.array([r["lang"] for r in rows], dtype=object))
+    x = np.empty((len(rows), DIMS), dtype=np.float32)
+    langs = np.array([r["lang"] for r in rows], dtype=object)
+    while rows:  # a row's bytes go as soon as they are read
+        x[len(rows) - 1] = np.frombuffer(rows.pop()["x"], dtype=np.float16)
+    return Model(x, langs)
 
 
 def predictor(spark: SparkSession, model: Model):
