@@ -3,6 +3,9 @@
 A text's features are the square roots of its hashed byte-trigram frequencies, in lower case and with digits, marks and white
 space as one separator. Linear support vector machines, one for each pair of families and one for each pair of languages of a
 family, vote; equal votes are settled by margins. They are fitted on a bounded sample of labelled documents.
+
+A winner always wins by half a probability or more, whatever the text, so votes can't tell that a text is in none of the languages.
+That is told by how likely its trigrams are in the language that won, against labelled documents kept out of the counting.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ SAMPLE = 6000  # labelled documents to fit on, shared equally by the languages,
 SAMPLE_EACH = 1200
 FOLDS, HELD_OUT = 4, 2
 LEAST_SCORE = 0.2  # below it the pipeline's stage rejects a document
+PARTS = 5  # of the sample; the documents of each are compared with the trigrams of the others
+LEAST_LIKE, SLACK = 0.005, 0.5  # quantile of labelled documents, and how much further from the median a text may lie
+PRIOR = 0.005  # of each trigram, in documents
 UNKNOWN = "und"
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 FAMILIES = {
@@ -112,11 +118,24 @@ class Vote:
         return self.classes[best], float(1 / (1 + np.exp(-np.clip(min(against), -50, 50))))
 
 
+def likeness(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log-likelihoods of trigrams in the documents ``own`` (rows of x), and the least mean of them for a text of their language."""
+    counts = np.zeros((PARTS, x.shape[1]))
+    for i, row in enumerate(own):
+        counts[i % PARTS] += x[row].astype(np.float64) ** 2
+    logs = lambda c: np.log((c + PRIOR) / (c + PRIOR).sum())
+    others = [logs(counts.sum(axis=0) - c) for c in counts]
+    means = np.array([others[i % PARTS] @ x[row].astype(np.float64) ** 2 for i, row in enumerate(own)])
+    low, middle = np.quantile(means, [LEAST_LIKE, 0.5])
+    return logs(counts.sum(axis=0)), float(low - SLACK * (middle - low))
+
+
 class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         family = np.array([FAMILY_OF.get(x.lower().split("-")[0], "other") for x in langs], dtype=object)
         self.families = Vote(x, np.arange(len(x)), family) if len(langs) else None
         self.within = {f: Vote(x, own, langs[own]) for f in set(family) for own in [np.flatnonzero(family == f)]}
+        self.likeness = {lang: likeness(x, np.flatnonzero(langs == lang)) for lang in sorted(set(langs))}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or self.families is None or not has_letter(text):
@@ -124,7 +143,9 @@ class Model:
         x = features(text)
         family, sure = self.families(x)
         lang, also = self.within[family](x)
-        return lang, sure * also
+        logs, least = self.likeness[lang]
+        known = logs @ x.astype(np.float64) ** 2 >= least
+        return lang, sure * also * (1.0 if known else LEAST_SCORE / 2)
 
 
 @F.pandas_udf(BinaryType())
@@ -147,7 +168,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> M
     x = np.empty((len(rows), DIMS), dtype=np.float32)
     langs = np.array([r["lang"] for r in rows], dtype=object)
     while rows:  # a row's bytes go as soon as they are read
-        x[len(rows) - 1] = np.frombuffer(rows.pop()["x"], dtype=np.float16)
+        last = rows.pop()
+        x[len(rows)] = np.frombuffer(last["x"], dtype=np.float16)
     return Model(x, langs)
 
 
@@ -170,7 +192,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs`` (doc_id, text, lang).
 
     Fitted on rows that aren't held out and have a lang. Null texts and those without a letter are ``und`` with score 0, and so is
-    everything if no row is labelled. A null doc_id isn't held out. Repeated rows are predicted alike. Other columns are not read.
+    everything if no row is labelled. Texts that are less like the language that won than nearly all of its labelled documents score below
+    LEAST_SCORE. A null doc_id isn't held out. Repeated rows are predicted alike. Other columns are not read.
     """
     spark = ship(docs.sparkSession)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
@@ -178,7 +201,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a known language, with all their columns: not ``und``, and a score of LEAST_SCORE or more."""
+    """The rows of ``docs`` in a known language, with all their columns: not ``und``, and a score of LEAST_SCORE or more.
+
+    So texts in a language that no labelled document has, mixed texts and gibberish go.
+    """
     spark = ship(docs.sparkSession)
     columns = all_columns(docs)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))

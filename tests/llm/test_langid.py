@@ -35,3 +35,33 @@ def test_lang_of_held_out_rows_is_not_used(spark):
     other = docs.withColumn("lang", langid.F.when(langid.held_out(), "xx").otherwise(langid.F.col("lang")))
     a, b = ({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(d).collect()} for d in (docs, other))
     assert a == b
+
+
+UNLEARNED = {
+    "pl": "Wczoraj wieczorem poszliśmy nad rzekę, żeby zobaczyć, jak słońce zachodzi za wzgórzami. Moja siostra przyniosła chleb, ser i kilka jabłek z ogrodu. ",
+    "fi": "Eilen illalla kävelimme joen rantaan katsomaan auringonlaskua. Sisareni toi mukanaan leipää, juustoa ja omenoita puutarhasta. ",
+    "nl": "Gisteravond liepen we naar de rivier om te zien hoe de zon achter de heuvels verdween. Mijn zus had brood en kaas meegenomen. ",
+    "it": "Ieri sera siamo andati al fiume per vedere il sole tramontare dietro le colline. Mia sorella ha portato pane e formaggio. ",
+    "ru": "Вчера вечером мы пошли к реке посмотреть, как солнце садится за холмами. Сестра принесла хлеб, сыр и яблоки. ",
+    "gibberish": "qzx vkjw pfrt xxgh bnmq wrtz kljh zxcv qwrt plkj mnbv ghjk tyui vbnm qazw sxed crfv tgby yhnu jmik ",
+}
+
+
+def test_text_in_no_learned_language_is_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("n_chars >= 300").select("doc_id", "text", "lang")
+    clean = docs.where(langid.held_out()).collect()
+    halves = [" ".join(r.text[:400] for r in clean if r.lang == "en")[:4000] + UNLEARNED["pl"] * 30]
+    odd = [(-1 - i, text, None) for i, text in enumerate([t * 5 for t in UNLEARNED.values()] + halves)]
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(spark.createDataFrame(odd, docs.schema))).collect()}
+    assert not [i for i, _, _ in odd if i in kept]
+    assert sum(r.doc_id in kept for r in clean) >= 0.99 * len(clean)
+    assert {r.lang for r in clean if r.doc_id in kept} == {"de", "en", "es", "fr"}
+
+
+def test_each_document_is_fitted_with_its_own_label(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "Model", lambda x, langs: seen.update(x=x, langs=langs))
+    texts = {"de": "der fluss", "en": "the river", "fr": "la rive"}
+    langid.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string"))
+    for x, lang in zip(seen["x"], seen["langs"]):
+        assert abs(x - langid.features(texts[lang])).max() < 0.001
