@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -49,6 +50,21 @@ BLOCK = set(
 )
 KNOWN = BLOCK | VOID | set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 LABEL = {"article", "main"}
+#: Where HTML implies an end: a start tag of ENDS_P ends a paragraph, and one of SIBLINGS ends those elements if they aren't beyond SCOPES.
+ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "legend"} | {"aside", "dialog", "footer", "form", "header", "menu", "nav"}
+TABLE_PARTS = {"table", "td", "th", "caption", "html", "object", "template"}
+_LIST, _ROWS = {"ul", "ol", "menu", *TABLE_PARTS}, {"table", "html", "template"}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}} | dict.fromkeys(
+    ("tbody", "thead", "tfoot"), {"tbody", "thead", "tfoot"}
+)
+SCOPES = {"li": _LIST, "dt": {"dl", *TABLE_PARTS}, "dd": {"dl", *TABLE_PARTS}, "option": {"select", "datalist"}, "optgroup": {"select"}, "td": {"tr", *_ROWS}, "th": {"tr", *_ROWS}} | dict.fromkeys(
+    ("tr", "tbody", "thead", "tfoot", "table"), _ROWS
+)
+SCOPES["table"] = {"html", "template"}
+IN_HEAD = RAW | {"base", "basefont", "bgsound", "link", "meta", "noscript", "template", "object"}
+DEEPEST = 512  # open elements that an end tag is looked for in, as browsers nest no deeper
+ALWAYS = {"head", "noscript", "template", "svg", "math", "button", "select", "object", "canvas", "audio", "video", "datalist"}  # skipped whatever they hold
+STARTS = {"label": LABEL, "main": {"main"}, "begin": {*LABEL, "h1"}, "text": {*LABEL, "p", "h1", "h2", "h3", "h4", "h5", "h6"}}
 DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.5
 LEAST = 0.1
 
@@ -76,44 +92,137 @@ def _shunned(name: str, attrs: str) -> bool:
     return False
 
 
+class Tag(NamedTuple):
+    begin: int
+    end: int  # where the text after it begins
+    name: str
+    closing: bool
+    attrs: str
+
+
+def _tags(page: str) -> list[Tag]:
+    """The tags of a page in order, without comments and what stands in scripts and the like."""
+    at, out, lower = 0, [], page.lower()
+    while found := TAG.search(page, at):
+        at = found.end()
+        name = (found["name"] or found["name2"] or "").lower()
+        closing = bool(found["close"] or found["close2"])
+        if name in RAW and not closing:
+            stop = lower.find(f"</{name}", at)
+            at = len(page) if stop < 0 else stop
+            name = ""
+        out.append(Tag(found.start(), at, "" if name in RAW else name, closing, found["attrs"] or found["attrs2"] or ""))
+    return out
+
+
+def _opens(tag: Tag) -> bool:
+    return bool(tag.name) and not tag.closing and tag.name not in VOID and not tag.attrs.rstrip().endswith("/")
+
+
+def _ends(tags: list[Tag]) -> dict[int, tuple[int, bool]]:
+    """For each element, by its start tag's place, the place of the tag that ends it, and whether that is its own end tag."""
+    ends: dict[int, tuple[int, bool]] = {}
+    opened: list[int] = []
+    count: Counter = Counter()
+
+    def close(names, until, at: int, own: bool) -> None:
+        """End the innermost element of ``names`` that isn't beyond one of ``until``, and all within it."""
+        if not any(count[n] for n in names):
+            return
+        for k in range(len(opened) - 1, max(-1, len(opened) - 1 - DEEPEST), -1):
+            name = tags[opened[k]].name
+            if name in names:
+                for i in opened[k:]:
+                    ends[i] = (at, own and i == opened[k])
+                    count[tags[i].name] -= 1
+                del opened[k:]
+                return
+            if until(name):
+                return
+
+    for at, tag in enumerate(tags):
+        name = tag.name
+        if tag.closing and name:
+            inline = name not in BLOCK and name not in NEVER and name not in ("html", "body")
+            close({name}, (lambda n: n in BLOCK or n in NEVER) if inline else SCOPES.get(name, TABLE_PARTS).__contains__, at, True)
+        elif name:
+            if opened and tags[opened[-1]].name == "head" and name not in IN_HEAD:
+                close({"head"}, TABLE_PARTS.__contains__, at, False)
+            if name in ENDS_P:
+                close({"p"}, ENDS_P.__contains__, at, False)
+            if name in SIBLINGS:
+                close(SIBLINGS[name], SCOPES[name].__contains__, at, False)
+            if _opens(tag):
+                opened.append(at)
+                count[name] += 1
+    for i in opened:
+        ends[i] = (len(tags), False)
+    return ends
+
+
+def _skips(tags: list[Tag]) -> dict[int, tuple[int, bool]]:
+    """For each start tag whose element is never main text, the place of the tag to go on with, and whether its own end tag is before it.
+
+    An element that was never closed ends where HTML implies it, and where main text surely begins: at an <article>, <main> or <h1>,
+    and within an <article> or <main> at the next paragraph or heading too. One that holds a <main>, or the page's only
+    <article>s, is read.
+    """
+    candidates = [i for i, t in enumerate(tags) if _opens(t) and _shunned(t.name, t.attrs)]
+    if not candidates:
+        return {}
+    ends = _ends(tags)
+    starts = {n: [i for i, t in enumerate(tags) if t.name in names and _opens(t)] for n, names in STARTS.items()}
+    labelled, reach = set(), -1  # what stands in a labelled element
+    for i in sorted({*candidates, *starts["label"]}):
+        if i < reach:
+            labelled.add(i)
+        if tags[i].name in LABEL:
+            reach = max(reach, ends[i][0])
+
+    def first(kind: str, after: int, before: int) -> int:
+        k = bisect_right(starts[kind], after)
+        return min(before, starts[kind][k]) if k < len(starts[kind]) else before
+
+    spans = {}
+    for i in candidates:
+        end, own = ends[i]
+        if not own:
+            end = first("begin" if i not in labelled or tags[i].name in LABEL else "text", i, end)
+        elif tags[i].name not in ALWAYS and first("main", i, end) < end:
+            continue
+        spans[i] = (end + own, own)
+    free, reach = False, -1  # whether a labelled element would be read
+    for i in sorted({*spans, *starts["label"]}):
+        if i >= reach:
+            free = free or i not in spans
+            reach = spans[i][0] if i in spans else reach
+    if free:
+        return spans
+    return {i: (end, own) for i, (end, own) in spans.items() if tags[i].name in ALWAYS or (tags[i].name not in LABEL and first("label", i, end) >= end)}
+
+
 def tokens(page: str) -> Iterator[Token]:
     """The tokens of a page in order. It may be cut off anywhere, and its tags may be wrongly nested."""
-    at, block, labels, depth = 0, 0, 0, 0
-    skipped, skip_depth = "", 0
-    lower = page.lower()
+    tags = _tags(page)
+    skips = _skips(tags)
+    at, block, labels, depth, i = 0, 0, 0, 0, 0
     while at < len(page):
-        found = TAG.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at and not skipped:
+        end = tags[i].begin if i < len(tags) else len(page)
+        if end > at:
             text = html.unescape(page[at:end])
             yield Token("word", len(text.split()), block, text, labels if depth else 0)
-        if not found:
+        if i == len(tags):
             break
-        at = found.end()
-        name = (found["name"] or found["name2"] or "").lower()
-        if not name:
-            continue
-        closing, attrs = (found["close"] or found["close2"] or ""), (found["attrs"] or found["attrs2"] or "")
-        if not closing and name in RAW:
-            stop = lower.find(f"</{name}", at)
-            at = len(page) if stop < 0 else stop
-            continue
-        if name in RAW:
-            continue
-        if skipped:
-            if name == skipped and not attrs.rstrip().endswith("/"):
-                skip_depth += -1 if closing else 1
-                if not skip_depth:
-                    skipped, block = "", block + 1
-            continue
-        if not closing and name not in VOID and not attrs.rstrip().endswith("/") and _shunned(name, attrs):
+        if i in skips:
             yield Token("never", 0, block, "", labels if depth else 0)
             block += 1
-            if lower.find(f"</{name}", at) >= 0:
-                skipped, skip_depth = name, 1
-            else:  # never closed: it ends where main text surely begins, or with the page
-                begins = re.compile(r"<(?:article|main|h1)\b").search(lower, at)
-                at = begins.start() if begins else len(page)
+            i, own = skips[i]
+            at = tags[i - 1].end if own else tags[i].begin if i < len(tags) else len(page)
+            continue
+        name, closing = tags[i].name, tags[i].closing
+        at = tags[i].end
+        i += 1
+        if not name:
             continue
         if name in LABEL:
             if closing:

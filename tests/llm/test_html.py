@@ -54,3 +54,29 @@ def test_every_page_is_read(spark):
     assert len(rows) == pages.count()
     assert sum(bool(r.text) for r in rows) >= 0.99 * len(rows)
     assert not any("<p>" in r.text or "track(" in r.text for r in rows)
+
+
+FIXED = html.Weights(1.0, {})
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>One<p class="notice">Note<p>Two<p>Three</article><p>x', "One\nTwo\nThree"),
+        ('<article><ul><li>One<li class="share">Share<li>Two</ul><p>Three</article>', "One\nTwo\nThree"),
+        ("<p hidden>No<p>One two three<p>Four five", "One two three\nFour five"),
+        ('<article><p>One</p><div class="ad">Buy<p>Two</p></article><p>x', "One\nTwo"),
+        ("<article><p>One</p><aside>Buy<p>Two</p></article><p>x", "One\nTwo"),
+        ("<aside>Ad<article><p>One</article><aside>More</aside><p>x", "One"),
+        ('<div class="ad">Ad<article><p>One</p></article><div class="ad">x</div>', "One"),
+        ('<p class="notice">Note<article><p>One</article>', "One"),
+        ('<ul><li class="share">Share</ul><article><p>One</article>', "One"),
+        ('<table><tr><td class="ad">Buy<td>One two<tr><td>Three</table>', "One two\nThree"),
+        ("<html><head><title>T</title><body><p>One two", "One two"),
+        ('<article>One<div class="ad"><p>x<p>y</div>two</article>', "One\ntwo"),
+        ('<article><b>One<div class="ad">x</b>y</div>two</article>', "One\ntwo"),
+        ("<article>One</article><aside><article>Other</article></aside>", "One"),
+    ],
+)
+def test_unclosed_elements_that_are_skipped_end_where_html_says(page, text):
+    assert html.main_text(page, FIXED) == text
