@@ -5,7 +5,7 @@ text themselves with <article> or <main>: a tag costs more the more often it sta
 finds the contiguous run with the highest sum. A run that reaches into an <article> or <main> is taken as that whole element.
 
 What is never main text is one negative token, wherever it stands: scripts and styles, menus, headers, footers, sidebars, forms,
-and containers whose class, id or role says notice, advert, comments or the like.
+and containers whose class, id or role says notice, advert, comments or the like, unless they hold the page's <main> or only <article>.
 """
 
 from __future__ import annotations
@@ -34,17 +34,19 @@ TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "math", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "datalist"}
 NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
-NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
+_NAME = (
+    r"(?:ads?|adverts?|advertisement|advertising|adbox|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
     r"header|masthead|topbar|footer|foot|cookies?|consent|gdpr|notices?|disclaimer|alert|comments?|commentlist|respond|replies|disqus|share|sharing|social|"
-    r"related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|hidden)(?:$|[\s_-])",
-    re.I,
+    r"related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|hidden)"
 )
+_PLACE = r"(?:site|page|global|main|top|bottom|left|right|primary|secondary|box|bar|area|list|section|block|container|wrapper|wrap|buttons?|links?|[0-9]+)"
+#: A whole name of a class or id: such words, and words that say where or what kind of part. Others make it a name of something else.
+NEVER_NAMES = re.compile(rf"(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}))*", re.I)
 BLOCK = set(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -82,12 +84,16 @@ def _shunned(name: str, attrs: str) -> bool:
         return True
     if not attrs or name in ("html", "body", "main"):
         return False
+    seen = set()
     for key, *values in ATTRIBUTE.findall(attrs):
-        value = next(filter(None, values), "").strip()
+        value = html.unescape(next(filter(None, values), "")).strip()
         key = key.lower()
+        if key in seen:  # the first one of a name counts
+            continue
+        seen.add(key)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true" and name != "article"):
             return True
-        if key == "role" and value.lower() in NEVER_ROLES or key in ("class", "id") and NEVER_NAMES.search(value):
+        if key == "role" and not NEVER_ROLES.isdisjoint(value.lower().split()[:1]) or key in ("class", "id") and any(map(NEVER_NAMES.fullmatch, value.split())):
             return True
     return False
 

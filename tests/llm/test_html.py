@@ -80,3 +80,26 @@ FIXED = html.Weights(1.0, {})
 )
 def test_unclosed_elements_that_are_skipped_end_where_html_says(page, text):
     assert html.main_text(page, FIXED) == text
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="header"', 'data-hidden="1"', 'class="content has-sidebar"', 'class="no-sidebar"', 'class="post has-comments"', "data-x='a class=\"ad\"'"],
+)
+def test_words_that_are_no_such_attribute_or_class(attrs):
+    for name in ("div", "article", "section"):
+        assert html.main_text(f"<body><{name} {attrs}><p>One two three</p></{name}></body>", FIXED) == "One two three"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', 'class="x ad"', "class=cookie-notice", "id='site-footer'", 'role="navigation"', 'aria-hidden="true"', 'class="share-buttons"', 'data-a="x" class="sidebar"'])
+def test_elements_that_are_skipped(attrs):
+    assert html.main_text(f"<p>One two three</p><div {attrs}>No</div><p>four five six</p>", FIXED) == "One two three\nfour five six"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<div class="widget"><article>One</article></div>', "<form><main>One</main></form>", '<article class="comments">One</article>', '<div hidden><div class="ad">No</div><article class="related">One</article></div>'],
+)
+def test_what_holds_the_main_text_is_read(page):
+    assert html.main_text(page, FIXED) == "One"
+    assert html.main_text("<article>Two</article><div class='related'><article class='share'>One</article></div>", FIXED) == "Two"
