@@ -303,10 +303,11 @@ def _tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from about ``sample`` pages, chosen by a hash of page_id; those with an <article> or <main> label themselves."""
-    total = max(1, pages.count())
-    share = F.pmod(F.xxhash64(F.lit("html"), "page_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / total))
-    rows = pages.where(share).select("html").mapInPandas(_tally, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
+    """Weights from about ``sample`` pages with an <article> or <main>, which label themselves, chosen by a hash of page_id."""
+    labelled = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)(?:[\s/>]|$)"))
+    total = max(1, labelled.count())
+    share = F.pmod(F.xxhash64(F.lit("html"), "page_id"), F.lit(1 << 52)) < int((1 << 52) * min(1.0, sample / total))
+    rows = labelled.where(share).select("html").mapInPandas(_tally, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     return learned(Counter({r["kind"]: r["i"] for r in rows}), Counter({r["kind"]: r["o"] for r in rows}))
 
 

@@ -103,3 +103,10 @@ def test_elements_that_are_skipped(attrs):
 def test_what_holds_the_main_text_is_read(page):
     assert html.main_text(page, FIXED) == "One"
     assert html.main_text("<article>Two</article><div class='related'><article class='share'>One</article></div>", FIXED) == "Two"
+
+
+def test_weights_are_learned_from_labelled_pages_however_rare(spark):
+    plain = spark.range(3000).selectExpr("id AS page_id", "'<p>word</p>' AS html")
+    labelled = spark.range(3000, 3005).selectExpr("id AS page_id", "'<div>a b</div><ARTICLE><p>one two three</p></ARTICLE>' AS html")
+    got = html.learn(plain.unionByName(labelled), sample=5)
+    assert got == html.learn(labelled) and got.tags
