@@ -221,15 +221,20 @@ _EXPECTED = "expected AS (SELECT q0.qid, max(c.url) AS expected FROM q0 LEFT JOI
 
 
 def _cases(spark, sf_dir):
-    """A case expects a document that has its passage in full. Documents that share four words in a row with it are compared whole."""
+    """A case expects a document that has its passage in full. Documents that share four words in a row with it are compared whole.
+
+    Words 2 to 5 are sure to be whole words of the document only where a sixth follows; shorter passages are looked for in all documents.
+    """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     four = lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(4)))
-    asked = questions(spark, sf_dir).where(F.length("question") >= 40).withColumn("w", words(F.col("question"))).select("qid", "question", four(F.lit(1)).alias("key"))
-    asked = bounded(asked, 100_000, "passages")
+    asked = questions(spark, sf_dir).where(F.length("question") >= 40).withColumn("w", words(F.col("question")))
+    short = bounded(asked.where(F.size("w") < 6).select("qid", "question"), 100_000, "short_passages")
+    asked = bounded(asked.where(F.size("w") >= 6).select("qid", "question", four(F.lit(1)).alias("key")), 100_000, "passages")
     texts = corpus(spark, sf_dir)
     grams = texts.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), four)).alias("key"))
     near = grams.join(asked.select("qid", "key"), "key").select("qid", "chunk_id").distinct()
     met = near.join(texts.select("chunk_id", "url", "text"), "chunk_id").join(asked.select("qid", "question"), "qid").where(F.col("text").contains(F.col("question")))
+    met = met.select("qid", "url").unionByName(texts.join(short, F.col("text").contains(F.col("question"))).select("qid", "url"))
     met = met.groupBy("qid").agg(F.max("url").alias("expected"))
     return questions(spark, sf_dir).select("qid").join(met, "qid", "left").withColumn("should_answer", F.col("expected").isNotNull())
 

@@ -145,3 +145,16 @@ def test_settings():
 
 def test_stop_words_are_distinct():
     assert len(T.STOPWORDS) == len(set(T.STOPWORDS)) == 32
+
+
+def test_cases_of_passages_with_few_words(spark, monkeypatch):
+    from corpusmill.plans import search
+
+    asked = ["日本語" * 20, "http://example.org/" + "a" * 40, "alpha bravoooooooooo charlieeeeeeeee deltaaaaa echo", "one two three four five six seven eight nine ten", "not there " * 5]
+    texts = [f"vor {asked[0]}nach", f"see {asked[1]}/x", f"so {asked[2]}es, and more", f"zero {asked[3]}s"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    corpus = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "chunk_id long, url string, text string")
+    monkeypatch.setattr(search, "questions", lambda *_: questions)
+    monkeypatch.setattr(search, "corpus", lambda *_: corpus)
+    got = {r.qid: (r.expected, r.should_answer) for r in search._cases(spark, "").collect()}
+    assert got == {i: (f"u{i}", True) for i in range(4)} | {4: (None, False)}
