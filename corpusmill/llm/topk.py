@@ -1,6 +1,6 @@
 """Exact top-k inner products by Fagin's threshold algorithm over blocks of vectors.
 
-Vectors are dealt to blocks by a hash of their id, and queries to blocks too; each pair of blocks is one task, so a task's
+Vectors are dealt to blocks by a hash of the row, so that a repeated id fills no block, and queries by their id; each pair of blocks is one task, so a task's
 input is bounded and nothing is broadcast. In a block every dimension has a list of its vectors sorted by value. A
 query walks all lists at once, from the top where its own component is positive and from the bottom where it is negative;
 rows met for the first time are scored in full. The sum over dimensions of the query's component times the value last
@@ -83,6 +83,17 @@ def _block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _dealt(column: str, n: int):
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v, d, salt) of the vectors that take part; the salt is written, so that a row keeps it."""
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound)
+    return materialize(usable.withColumn("d", F.size("v")).withColumn("salt", F.xxhash64("vec_id", "v", F.monotonically_increasing_id())), "vectors")
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of ``vectors`` (vec_id, embedding) for each query.
 
@@ -92,14 +103,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     in a long. Other columns are not read.
     """
     ship(vectors.sparkSession)
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = materialize(vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound).withColumn("d", F.size("v")), "vectors")
+    rows = _rows(vectors)
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("d", "vec_id").agg(F.min("v").alias("v"))
     n_rows, n_asks = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
     row_blocks, ask_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asks // BLOCK_QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = asks.select("d", "vec_id", "v", block(ask_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    right = rows.select("d", "vec_id", "v", block(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb"))
+    left = asks.select("d", "vec_id", "v", _dealt("vec_id", ask_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    right = rows.select("d", "vec_id", "v", _dealt("salt", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb"))
     found = left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInPandas(_block, OUT)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,3 +40,13 @@ def test_odd_vectors_and_several_blocks(spark, monkeypatch):
     assert [(i, s) for _, i, s in got[280]] == [(281, 64 * 128 + 128 * 128)]
     assert 200 not in got and 220 not in got and 260 not in got
     assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_rows_of_a_repeated_id_are_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    frame = spark.createDataFrame([(7 if i % 3 else i, [float(i % 5), 1.0]) for i in range(400)] + [(20, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    sizes = [r["count"] for r in topk._rows(frame).groupBy(topk._dealt("salt", 10)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 80
+    best = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(frame).where("query_id = 20").collect())
+    scores = sorted(((-64 * 64 * (i % 5), 7 if i % 3 else i) for i in range(400)))[:20]
+    assert [(i, s) for _, i, s in best] == [(i, -s) for s, i in scores]
