@@ -1,8 +1,10 @@
 """Main text of web pages as the maximum-scoring run of a page's words and tags.
 
 A page is read as a run of tokens. Words score positive and tags negative; how much is learned from pages that label their main
-text themselves with <article> or <main>: a tag costs more the more often it stands outside of them. One linear scan
-finds the contiguous run with the highest sum. A run that reaches into an <article> or <main> is taken as that whole element.
+text themselves with <article> or <main>: a tag costs more the larger its share outside of them is, and crossing the border of
+such an element costs half of what their text scores on average, so that a run leaves one only for much more text. One linear
+scan finds the contiguous run with the highest sum, and its first and last block are taken whole. Nothing else chooses the region:
+a page without those elements is read by the same scan.
 
 What is never main text is one negative token, wherever it stands: scripts and styles, menus, headers, footers, sidebars, forms,
 and containers whose class, id or role says notice, advert, comments or the like, unless they hold the page's <main> or only <article>.
@@ -34,10 +36,11 @@ TAG = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+RAW_END = {name: re.compile(f"</{name}", re.I | re.ASCII) for name in RAW}  # lower-casing a page could change its length
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "math", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "datalist"}
+NEVER = {"nav", "header", "footer", "aside", "form", "noscript", "template", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "datalist"}
 NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
 _NAME = (
     r"(?:ads?|adverts?|advertisement|advertising|adbox|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
@@ -50,6 +53,7 @@ NEVER_NAMES = re.compile(rf"(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}
 BLOCK = set(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+APART = BLOCK | {"nav", "header", "footer", "aside", "form", "noscript", "template", "dialog", "menu", "head"}  # what stands between two blocks even if it is skipped
 KNOWN = BLOCK | VOID | set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 LABEL = {"article", "main"}
 #: Where HTML implies an end: a start tag of ENDS_P ends a paragraph, and one of SIBLINGS ends those elements if they aren't beyond SCOPES.
@@ -65,10 +69,10 @@ SCOPES = {"li": _LIST, "dt": {"dl", *TABLE_PARTS}, "dd": {"dl", *TABLE_PARTS}, "
 SCOPES["table"] = {"html", "template"}
 IN_HEAD = RAW | {"base", "basefont", "bgsound", "link", "meta", "noscript", "template", "object"}
 DEEPEST = 512  # open elements that an end tag is looked for in, as browsers nest no deeper
-ALWAYS = {"head", "noscript", "template", "svg", "math", "button", "select", "object", "canvas", "audio", "video", "datalist"}  # skipped whatever they hold
+ALWAYS = {"head", "noscript", "template", "select", "object", "canvas", "audio", "video", "datalist"}  # skipped whatever they hold
 STARTS = {"label": LABEL, "main": {"main"}, "begin": {*LABEL, "h1"}, "text": {*LABEL, "p", "h1", "h2", "h3", "h4", "h5", "h6"}}
-DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.5
-LEAST = 0.1
+DEFAULT_WORD, DEFAULT_TAG, DEFAULT_BORDER = 1.0, -0.25, -50.0
+LEAST = 0.05
 
 
 class Token(NamedTuple):
@@ -76,7 +80,7 @@ class Token(NamedTuple):
     words: int
     block: int  # text of one block has one number
     text: str
-    inside: int  # number of the labelled element that it stands in; 0 outside
+    inside: bool  # whether it stands in a labelled element; only the weights are learned from that
 
 
 def _shunned(name: str, attrs: str) -> bool:
@@ -108,14 +112,14 @@ class Tag(NamedTuple):
 
 def _tags(page: str) -> list[Tag]:
     """The tags of a page in order, without comments and what stands in scripts and the like."""
-    at, out, lower = 0, [], page.lower()
+    at, out = 0, []
     while found := TAG.search(page, at):
         at = found.end()
         name = (found["name"] or found["name2"] or "").lower()
         closing = bool(found["close"] or found["close2"])
         if name in RAW and not closing:
-            stop = lower.find(f"</{name}", at)
-            at = len(page) if stop < 0 else stop
+            stop = RAW_END[name].search(page, at)
+            at = stop.start() if stop else len(page)
             name = ""
         out.append(Tag(found.start(), at, "" if name in RAW else name, closing, found["attrs"] or found["attrs2"] or ""))
     return out
@@ -211,17 +215,19 @@ def tokens(page: str) -> Iterator[Token]:
     """The tokens of a page in order. It may be cut off anywhere, and its tags may be wrongly nested."""
     tags = _tags(page)
     skips = _skips(tags)
-    at, block, labels, depth, i = 0, 0, 0, 0, 0
+    at, block, depth, i = 0, 0, 0, 0
     while at < len(page):
         end = tags[i].begin if i < len(tags) else len(page)
         if end > at:
             text = html.unescape(page[at:end])
-            yield Token("word", len(text.split()), block, text, labels if depth else 0)
+            yield Token("word", len(text.split()), block, text, depth > 0)
         if i == len(tags):
             break
         if i in skips:
-            yield Token("never", 0, block, "", labels if depth else 0)
-            block += 1
+            apart = tags[i].name in APART
+            block += apart
+            yield Token("never", 0, block, "", depth > 0)
+            block += apart
             i, own = skips[i]
             at = tags[i - 1].end if own else tags[i].begin if i < len(tags) else len(page)
             continue
@@ -230,16 +236,12 @@ def tokens(page: str) -> Iterator[Token]:
         i += 1
         if not name:
             continue
-        if name in LABEL:
-            if closing:
-                depth = max(0, depth - 1)
-            else:
-                labels += not depth
-                depth += 1
-        if name in BLOCK:
-            block += 1
-        kind = name if name in KNOWN else "other"
-        yield Token(kind, 0, block, " " if name == "br" else "", labels if depth else 0)
+        if name in LABEL and closing:
+            depth = max(0, depth - 1)
+        block += name in BLOCK
+        yield Token("border" if name in LABEL else name if name in KNOWN else "other", 0, block, " " if name == "br" else "", depth > 0)
+        if name in LABEL and not closing:
+            depth += 1
 
 
 class Weights(NamedTuple):
@@ -250,13 +252,18 @@ class Weights(NamedTuple):
         return self.word * t.words if t.kind == "word" else self.tags.get(t.kind, DEFAULT_TAG)
 
 
-def learned(inside: Counter, outside: Counter) -> Weights:
-    """Weights from counts of token kinds inside and outside of labelled main text. Words stay positive and tags negative."""
+def learned(inside: Counter, outside: Counter, regions: int, stretches: int) -> Weights:
+    """Weights from counts of token kinds inside and outside of labelled main text.
+
+    There were ``regions`` such texts, and ``stretches`` of words outside of them. A word scores one. A tag costs ``LEAST``, and besides
+    a mean stretch of words outside times the share of such tags that stand outside: a stretch has a tag on either side, so on average it
+    doesn't pay. What is skipped costs ``LEAST``, as it stands everywhere. Without labelled pages the weights are fixed.
+    """
     if not inside["word"]:
-        return Weights(DEFAULT_WORD, {})
-    odds = {k: log((inside[k] + 1) / (outside[k] + 1)) for k in inside | outside}
-    word = max(LEAST, odds["word"])
-    return Weights(word, {k: -max(LEAST, word - x) for k, x in odds.items() if k != "word"})
+        return Weights(DEFAULT_WORD, {"never": -LEAST, "border": DEFAULT_BORDER})
+    full = max(1.0, outside["word"] / max(1, stretches))
+    tags = {k: -LEAST - full * (outside[k] + 0.5) / (inside[k] + outside[k] + 1) for k in inside | outside if k != "word"}
+    return Weights(DEFAULT_WORD, tags | {"never": -LEAST, "border": -max(full, inside["word"] / max(1, regions) / 2)})
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -277,14 +284,12 @@ def main_text(page: str | None, weights: Weights) -> str:
         return ""
     run = list(tokens(page))
     begin, end = best_run([weights.of(t) for t in run])
-    reached = {t.inside for t in run[begin:end] if t.inside and t.kind == "word" and t.words}
-    if reached:
-        chosen = [t for t in run if t.inside in reached]
-    else:
-        chosen = run[begin:end]
+    if begin == end:
+        return ""
+    first, last = run[begin].block, run[end - 1].block
     blocks: dict[int, list[str]] = {}
-    for t in chosen:
-        if t.text:
+    for t in run:
+        if t.text and first <= t.block <= last:
             blocks.setdefault(t.block, []).append(t.text)
     texts = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(t for t in texts if t)
@@ -292,23 +297,31 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def _tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+    regions = stretches = 0
     for f in frames:
         for page in f["html"]:
             run = list(tokens(page or ""))
             if any(t.inside for t in run):
+                regions += 1
                 for t in run:
                     counts[not t.inside][t.kind] += t.words if t.kind == "word" else 1
-    rows = [(kind, c[0], c[1]) for kind in counts[0] | counts[1] for c in [(counts[0][kind], counts[1][kind])]]
+                    stretches += t.kind == "word" and t.words > 0 and not t.inside
+    rows = [(kind, counts[0][kind], counts[1][kind]) for kind in counts[0] | counts[1]] + [("", regions, stretches)]
     yield pd.DataFrame(rows, columns=["kind", "inside", "outside"]).astype({"inside": "int64", "outside": "int64"})
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from about ``sample`` pages with an <article> or <main>, which label themselves, chosen by a hash of page_id."""
+    """Weights from about ``sample`` pages with an <article> or <main>, which label themselves, chosen by a hash of page_id.
+
+    Only a tally of token kinds leaves a task.
+    """
     labelled = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)(?:[\s/>]|$)"))
     total = max(1, labelled.count())
     share = F.pmod(F.xxhash64(F.lit("html"), "page_id"), F.lit(1 << 52)) < int((1 << 52) * min(1.0, sample / total))
-    rows = labelled.where(share).select("html").mapInPandas(_tally, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
-    return learned(Counter({r["kind"]: r["i"] for r in rows}), Counter({r["kind"]: r["o"] for r in rows}))
+    tally = labelled.where(share).select("html").mapInPandas(_tally, "kind string, inside long, outside long")
+    rows = tally.groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()  # a row for each known tag at most
+    inside, outside = Counter({r["kind"]: r["i"] for r in rows}), Counter({r["kind"]: r["o"] for r in rows})
+    return learned(inside, outside, inside.pop("", 0), outside.pop("", 0))
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

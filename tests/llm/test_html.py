@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter
+
+import pandas as pd
 import pytest
 
 from corpusmill.llm import html
@@ -39,8 +44,6 @@ def test_best_run(scores, span):
 
 
 def test_best_run_matches_brute_force():
-    import random
-
     rng = random.Random(3)
     for _ in range(300):
         s = [float(rng.randint(-4, 4)) for _ in range(rng.randint(0, 12))]
@@ -56,7 +59,7 @@ def test_every_page_is_read(spark):
     assert not any("<p>" in r.text or "track(" in r.text for r in rows)
 
 
-FIXED = html.Weights(1.0, {})
+FIXED = html.learned(Counter(), Counter(), 0, 0)
 
 
 @pytest.mark.parametrize(
@@ -110,3 +113,81 @@ def test_weights_are_learned_from_labelled_pages_however_rare(spark):
     labelled = spark.range(3000, 3005).selectExpr("id AS page_id", "'<div>a b</div><ARTICLE><p>one two three</p></ARTICLE>' AS html")
     got = html.learn(plain.unionByName(labelled), sample=5)
     assert got == html.learn(labelled) and got.tags
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>before <span class=\"ad\">x</span> after</p></article>", "before after"),
+        ("<article><p>be<span hidden>x</span>fore</p></article>", "before"),
+        ("<article><p>a <math><mi>x</mi></math> b <button>Copy</button> c <svg><text>d</text></svg></p></article>", "a x b Copy c d"),
+        ("<p>" + "İ" * 60 + "</p><SCRIPT>var words = 'in a script are none';</sCript><p>one two three</p>", "İ" * 60 + "\none two three"),
+        ("<script>ſ</ſcript>x</script><p>one two</p>", "one two"),
+        ("<article><h1>A</h1><p>one two three four five six</p></article><div><article><p>teaser one</p></article><article><p>teaser two</p></article></div>", "A\none two three four five six"),
+        ("<article>One<div>two</div><div hidden>x</div>three</article>", "One\ntwo\nthree"),
+        ('<div class="layout no-sidebar"><article><p>One two</p></article></div>', "One two"),
+    ],
+)
+def test_nothing_of_the_main_text_is_lost(page, text):
+    assert html.main_text(page, FIXED) == text
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>İstanbul one two</p>", "x", 7)] * 2 + [(None, None, "<p>one</p>", None, None), (2, "u", None, "x", 1)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, "u", "İstanbul one two", 16): 2, (None, None, "one", 3): 1, (2, "u", "", 0): 1})
+
+
+def brute_force(page, weights):
+    """Every contiguous run of a page's tokens is tried; the first and longest of the best, with whole blocks at its ends, is read."""
+    run = list(html.tokens(page))
+    scores = [weights.of(t) for t in run]
+    best = max(((round(sum(scores[i:j]), 6), -i, j) for i in range(len(run)) for j in range(i + 1, len(run) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return ""
+    first, last = run[-best[1]].block, run[best[2] - 1].block
+    blocks = [" ".join("".join(t.text for t in run if t.block == b).split()) for b in range(first, last + 1)]
+    return "\n".join(filter(None, blocks))
+
+
+def test_main_text_matches_brute_force():
+    rng = random.Random(5)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<b>", "</b>", "<br>", "<nav>a b</nav>", '<span class="ad">q</span>', "<li>", "one ", "two three ", "four five six seven ", " ", "&amp; "]
+    weights = html.Weights(1.0, {"div": -1.5, "p": -0.25, "border": -4.0, "never": -2.5})
+    for _ in range(300):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert html.main_text(page, weights) == brute_force(page, weights), page
+
+
+def pages_of(spark):
+    return [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+
+
+def tallied(pages):
+    f = next(html._tally(iter([pd.DataFrame({"html": pages})])))
+    inside, outside = (Counter(dict(zip(f["kind"], map(int, f[c])))) for c in ("inside", "outside"))
+    return html.learned(inside, outside, inside.pop("", 0), outside.pop("", 0))
+
+
+def labelled_text(page):
+    """By plain patterns, which these pages allow."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", inner)
+    bare = [html.html.unescape(re.sub(r"</?[a-z][^>]*>", "", b.replace("<br>", " "))) for b in blocks]
+    return "\n".join(filter(None, (" ".join(b.split()) for b in bare)))
+
+
+def test_pages_without_their_labels_give_the_same_text(spark):
+    pages = pages_of(spark)
+    weights = tallied(pages[::2])  # pages of the other half were not learned from
+    held = pages[1::2]
+    same = [html.main_text(re.sub("</?article>", "", p), weights) == labelled_text(p) for p in held]
+    assert sum(same) >= 0.95 * len(same)
+    assert all(html.main_text(p, weights) == labelled_text(p) for p in held)
+
+
+def test_weights_tell_unnamed_adverts_from_labelled_text():
+    page = "<body><div>Buy cheap things now</div><article><h1>T</h1><p>{}</p></article><div>More of it</div></body>".format("one two three " * 20)
+    weights = tallied([page] * 50)
+    assert html.main_text(page, weights) == "T\n" + " ".join(["one two three"] * 20)
+    assert html.main_text(re.sub("</?article>", "", page), weights) == "T\n" + " ".join(["one two three"] * 20)
