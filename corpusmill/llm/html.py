@@ -256,12 +256,12 @@ def learned(inside: Counter, outside: Counter, regions: int, stretches: int) ->
     """Weights from counts of token kinds inside and outside of labelled main text.
 
     There were ``regions`` such texts, and ``stretches`` of words outside of them. A word scores one. A tag costs ``LEAST``, and besides
-    a mean stretch of words outside times the share of such tags that stand outside: a stretch has a tag on either side, so on average it
-    doesn't pay. What is skipped costs ``LEAST``, as it stands everywhere. Without labelled pages the weights are fixed.
+    twice a mean stretch of words outside times the share of such tags that stand outside: one such tag is between a stretch and the text,
+    so it doesn't pay to take in a stretch of up to twice the mean. What is skipped costs ``LEAST``, as it stands everywhere. Without labelled pages the weights are fixed.
     """
     if not inside["word"]:
         return Weights(DEFAULT_WORD, {"never": -LEAST, "border": DEFAULT_BORDER})
-    full = max(1.0, outside["word"] / max(1, stretches))
+    full = max(1.0, 2 * outside["word"] / max(1, stretches))
     tags = {k: -LEAST - full * (outside[k] + 0.5) / (inside[k] + outside[k] + 1) for k in inside | outside if k != "word"}
     return Weights(DEFAULT_WORD, tags | {"never": -LEAST, "border": -max(full, inside["word"] / max(1, regions) / 2)})
 
