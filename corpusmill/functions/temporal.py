@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import collapse
+from corpusmill.functions.text import collapse, compatible
 
 # The patterns that decide what counts as a date, a time and a figure.
 MONTHS = "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
@@ -39,5 +39,6 @@ def claims(answer: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """For comparing claims with sources: lower case, one kind of dash, no space before a per cent sign."""
-    return collapse(F.regexp_replace(F.regexp_replace(F.lower(text), "[–—]", "-"), r"(?U)\s*%", "%"))
+    """For comparing claims with sources: compatible forms (NFKC), case folded, one kind of dash, no space before a per cent sign."""
+    folded = F.replace(F.translate(F.lower(compatible(text)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return collapse(F.regexp_replace(F.regexp_replace(folded, "[–—]", "-"), r"(?U)\s*%", "%"))

@@ -1,11 +1,20 @@
-"""Column functions for texts: cleaning, folding, slugs, tokens and hashes. All of them stay in the JVM."""
+"""Column functions for texts: cleaning, folding, slugs, tokens and hashes.
+
+They stay in the JVM. Spark has no Unicode normalisation, so tables made by rule stand for it; only texts with characters beyond
+the tables (ligatures, fractions, Hangul) go through an Arrow UDF.
+"""
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that a lexical query leaves out.
 STOPWORDS = [
@@ -42,13 +51,82 @@ def collapse(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Without accents: Latin letters by table, other scripts by dropping combining marks."""
+    """As the index folds: Latin letters by table, other scripts by dropping combining marks."""
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
+@lru_cache(maxsize=2)
+def _folding(form: str, marks: bool) -> tuple[str, str, str]:
+    """By rule, for a normalisation form: characters with a form of one character, their forms, and a class of all that need more.
+
+    Without ``marks``, characters that are nothing but combining marks come last among the first, with no form: they are deleted.
+    """
+    one: list[str] = []
+    to: list[str] = []
+    none: list[str] = []
+    more: list[int] = []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if not (unicodedata.decomposition(c) or unicodedata.combining(c) or 0x1160 <= code < 0x1200 or 0xAC00 <= code < 0xD7A4):
+            continue
+        found = unicodedata.normalize(form, c)
+        if not marks:
+            found = "".join(x for x in found if not unicodedata.combining(x))
+        if not found:
+            none.append(c)
+        elif len(found) > 1 or (marks and unicodedata.combining(c)) or (marks and unicodedata.category(c) == "Lo" and 0x1160 <= code < 0x1200):
+            more.append(code)  # marks may join what stands before them
+        elif found != c:
+            one.append(c)
+            to.append(found)
+    return "".join(one + none), "".join(to), _ranges(more)
+
+
+def _ranges(codes: list[int]) -> str:
+    """Sorted code points as what stands in a character class."""
+    spans: list[list[int]] = []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+
+
+def _is_odd(text: Column, more: str) -> Column:
+    """Whether a text has a character of the class ``more``. Texts of plain Latin letters are told by a short class, and the long one isn't tried."""
+    member = re.compile(f"[{re.sub(r'.x{([0-9A-F]+)}', lambda m: chr(92) + 'U' + m[1].zfill(8), more)}]")
+    plain = _ranges([code for code in range(0x250) if not member.match(chr(code))])
+    return text.rlike(f"[^{plain}]") & text.rlike(f"[{more}]")
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def unaccented(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) of any script without combining marks."""
+    chars, forms, more = _folding("NFKD", False)
+    odd = _is_odd(text, more)
+    return F.when(odd, _decomposed(F.when(odd, text))).otherwise(F.translate(text, chars, forms))
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility composition (NFKC)."""
+    chars, forms, more = _folding("NFKC", True)
+    odd = _is_odd(text, more)
+    return F.when(odd, _composed(F.when(odd, text))).otherwise(F.translate(text, chars, forms))
+
+
 def slug(text: Column) -> Column:
     """ASCII letters and digits in lower case, with single hyphens between; what has no ASCII form is dropped."""
-    ascii_only = F.regexp_replace(fold(text), r"[^\x00-\x7F]+", "")
+    ascii_only = F.regexp_replace(unaccented(text), r"[^\x00-\x7F]+", "")
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import urls
+from corpusmill.operators import sync
 from corpusmill.settings import Settings
+from corpusmill.storage import bounded
 
 
 def url_states(discovered: DataFrame, indexed: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -26,23 +28,52 @@ def stale(states: DataFrame) -> DataFrame:
 
 def without_pages(objects: DataFrame, entries: DataFrame) -> DataFrame:
     """Catalogue objects (root_url) that no sitemap entry (url) belongs to."""
-    held = entries.select(F.explode(urls.ancestors(F.col("url"))).alias("root_url"))
+    held = entries.select(F.explode(urls.ancestors(F.col("url"))).alias("root_url")).distinct()
     return objects.join(held, "root_url", "left_anti").select("root_url")
 
 
-def summary(objects: DataFrame, entries: DataFrame, states: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
-    """One row with all metrics. Arrays are sorted by code point; each is what needs attention, not the whole corpus."""
-    urls_of = lambda df, c, name: df.agg(F.sort_array(F.collect_set(c)).alias(name))
-    found = states.where("is_discovered")
+def of_subject(objects: DataFrame, entries: DataFrame, subject_slug: str) -> tuple[DataFrame, DataFrame]:
+    """The objects of one subject, and the sitemap entries that belong to them: what an audit of that subject looks at."""
+    chosen = sync.of_subject(objects, subject_slug)
+    below = entries.select("url", F.explode(urls.ancestors(F.col("url"))).alias("root_url"))
+    own = below.join(bounded(chosen.select("root_url").distinct(), sync.MOST_OBJECTS, "roots"), "root_url", "left_semi").select("url").distinct()
+    return chosen, entries.join(own, "url", "left_semi")
+
+
+def issues(objects: DataFrame, entries: DataFrame, states: DataFrame, settings: Settings) -> DataFrame:
+    """(kind, url): what needs attention, a row for each url: missing, stale, without pages (an object's root), malformed."""
+    kinds = {"missing": missing(states), "stale": stale(states), "without_pages": without_pages(objects, entries).select(F.col("root_url").alias("url")).distinct(), "malformed": malformed(states, settings)}
+    out = None
+    for kind, rows in kinds.items():
+        named = rows.select(F.lit(kind).alias("kind"), "url")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def malformed(states: DataFrame, settings: Settings) -> DataFrame:
+    return states.where(F.col("is_discovered") & urls.malformed(F.col("url"), settings.site, settings.mirror, settings.mirrored_prefix)).select("url")
+
+
+def summary(objects: DataFrame, entries: DataFrame, states: DataFrame, documents: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
+    """One row with all metrics, as counts. :func:`issues` has the urls behind them."""
     catalog = objects.agg(F.count_distinct("root_url").alias("catalog_objects"), F.count_distinct("subject_slug").alias("catalog_subjects"))
     pages = entries.agg(F.count("url").alias("n"), F.count_distinct("url").alias("m")).select((F.col("n") - F.col("m")).alias("duplicate_urls"))
-    counts = found.agg(F.count("*").alias("discovered_pages"), F.count_if("is_indexed").alias("indexed_pages"), F.count_if("is_skipped").alias("skipped_pages"))
-    bad = found.where(urls.malformed(F.col("url"), settings.site, settings.mirror, settings.mirrored_prefix))
-    parts = [pages, counts, urls_of(missing(states), "url", "missing_pages"), urls_of(stale(states), "url", "stale_pages"), urls_of(without_pages(objects, entries), "root_url", "objects_without_pages"), urls_of(bad, "url", "malformed_urls"), stats]
+    is_malformed = urls.malformed(F.col("url"), settings.site, settings.mirror, settings.mirrored_prefix)
+    counts = states.agg(
+        F.count_if("is_discovered").alias("discovered_pages"),
+        F.count_if(F.col("is_discovered") & F.col("is_indexed")).alias("indexed_pages"),
+        F.count_if(F.col("is_discovered") & F.col("is_skipped")).alias("skipped_pages"),
+        F.count_if(F.col("is_discovered") & ~F.col("is_indexed") & ~F.col("is_skipped")).alias("missing_pages"),
+        F.count_if(F.col("is_indexed") & ~F.col("is_discovered")).alias("stale_pages"),
+        F.count_if(F.col("is_discovered") & is_malformed).alias("malformed_urls"),
+    )
+    empty = without_pages(objects, entries).agg(F.count_distinct("root_url").alias("objects_without_pages"))
+    subjects_ = documents.where("active").agg(F.count_distinct("subject").alias("indexed_subjects"))
     out = catalog
-    for p in parts:
-        out = out.join(p)
-    return out.withColumn("complete", (F.size("missing_pages") == 0) & (F.size("objects_without_pages") == 0) & (F.size("malformed_urls") == 0))
+    for part in (pages, counts, empty, subjects_, stats):
+        out = out.join(part)
+    complete = (F.col("missing_pages") == 0) & (F.col("objects_without_pages") == 0) & (F.col("malformed_urls") == 0)
+    return out.withColumns({"objects_with_pages": F.col("catalog_objects") - F.col("objects_without_pages"), "complete": complete})
 
 
 def corpus_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -44,13 +44,21 @@ def document_text(sections: Column, title: Column) -> Column:
 
 
 def cut_block(block: str, most: int = MAX_CHARS) -> list[str]:
-    """Pieces of a long block: up to a sentence's end, else a space, in the second half; else ``most`` + 1 characters."""
-    out = []
-    while len(block) > most:
-        cut = next((k for sep in (". ", " ") if (k := block.rfind(sep, 0, most)) >= most // 2), most)
-        out.append(block[: cut + 1].strip())
-        block = block[cut + 1 :].strip()
-    return out + [block] if block or not out else out
+    """Pieces of a long block: up to a sentence's end, else a space, in the second half; else ``most`` + 1 characters.
+
+    One pass over the text by places in it. A fold of built-in functions would copy or walk what is left for every piece, which is
+    quadratic in a long text.
+    """
+    out, at, end = [], 0, len(block)
+    while end - at > most:
+        cut = next((k for sep in (". ", " ") if (k := block.rfind(sep, at, at + most)) >= at + most // 2), at + most)
+        out.append(block[at : cut + 1].strip())
+        at = cut + 1
+        while at < end and block[at].isspace():
+            at += 1
+        while end > at and block[end - 1].isspace():
+            end -= 1
+    return out + [block[at:end]] if at < end or not out else out
 
 
 def tail_of(text: str, overlap: int) -> str:

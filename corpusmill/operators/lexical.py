@@ -1,18 +1,26 @@
-"""Lexical search: postings and BM25 over weighted fields."""
+"""Lexical search: a stored inverted index, and BM25 over weighted fields.
+
+The index is two tables. ``postings`` has a row for each term of a chunk with its weighted frequency and the chunk's length, sorted by term
+within files, so that a scan for some terms skips most row groups; it is all that a search reads, no text. ``sizes`` has
+the number of chunks and tokens, in a row for each part of the index. Both are sums over chunks: parts of an index can be replaced on their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.storage import bounded, materialize
+from corpusmill.storage import MOST_BROADCAST_BYTES, bounded, is_broadcast, materialize
 
 # The weight of each field, and the parameters of BM25.
 WEIGHTS = {"title": 2.0, "subject": 1.0, "heading": 1.5, "text": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOP = 20
-MOST_BROADCAST = 100_000  # terms, of some ten bytes each
+MOST_BROADCAST = 200_000  # terms of questions, of some tens of bytes each
+SALTS = 16  # parts that the chunks of one term are dealt to where the questions are too many to be broadcast
 
 
 def token_rows(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -31,17 +39,28 @@ def postings(tokens: DataFrame) -> DataFrame:
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("chunk_id")))
 
 
-def matches(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, length, hits): the length of each chunk, and the terms that it has of ``terms`` with weighted frequencies.
+class Index(NamedTuple):
+    """``postings`` (term, chunk_id, tf, wf, length) and ``sizes`` (chunks, tokens)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+
+def sizes(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row (chunks, tokens). Chunks without a token count, too."""
+    return chunks.agg(F.count("*").alias("chunks")).join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))
+
+
+def build(chunks: DataFrame, weights: dict[str, float] | None = None) -> Index:
+    """The index of ``chunks`` (chunk_id and the fields), in the shared folder. Each text is read and cut into tokens once."""
+    rows = postings(token_rows(chunks, weights))
+    stored = materialize(rows.sortWithinPartitions("term", "chunk_id"), "postings")
+    return Index(stored, materialize(sizes(chunks, stored), "sizes"))
 
-    The text is read and cut into tokens once. Tokens that no question asks for fall together as null before they are shuffled, so a
-    chunk sends one row for each term that it matches, and one more. The terms are broadcast if there are few enough.
-    """
-    asked = bounded(terms.select("term", F.lit(True).alias("is_asked")), MOST_BROADCAST, "terms")
-    rows = tokens.join(asked, "term", "left")
-    counts = rows.groupBy("chunk_id", F.when(F.col("is_asked"), F.col("term")).alias("term")).agg(F.count("*").alias("n"), F.sum("w").alias("wf"))
-    hit = F.when(F.col("term").isNotNull(), F.struct("term", "wf"))
-    return counts.groupBy("chunk_id").agg(F.sum("n").alias("length"), F.collect_list(hit).alias("hits"))
+
+def without(index: Index, changed: DataFrame) -> DataFrame:
+    """The postings that stay when the chunks in ``changed`` (chunk_id) are replaced or go."""
+    return index.postings.join(changed.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -49,22 +68,35 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(T.query_tokens(F.col("question"))).alias("term"))
 
 
-def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
-    """(qid, chunk_id, matched, n_terms, bm25, lexical_rank): the ``k`` best chunks for each question.
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
+def search(index: Index, questions: DataFrame, k: int = TOP, most_rows: int = MOST_BROADCAST) -> DataFrame:
+    """(qid, chunk_id, matched, n_terms, bm25, lexical_rank): the ``k`` best chunks of an index for each question (qid, question).
 
     Chunks with all terms come before others, then by score, then by chunk_id. Scores are positive and rounded to 12 places, so that
-    the order of summation decides nothing.
+    the order of summation decides nothing. Questions of up to ``most_rows`` terms and a checked size are broadcast, and postings are scored where
+    they lie, however common a term is; beyond that a term's chunks are dealt to SALTS parts.
     """
-    asked = materialize(question_terms(questions), "asked")
-    found = materialize(matches(token_rows(chunks), asked.select("term").distinct()), "matches")
-    empty = chunks.count() - found.count()  # chunks without a token are counted, too
-    stats = found.agg((F.count("*") + empty).alias("n"), (F.sum("length") / (F.count("*") + empty)).alias("avg_length"))  # one row
-    hits = found.select("chunk_id", "length", F.inline("hits"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighed = hits.join(df, "term").join(F.broadcast(stats))
-    part = idf * F.col("wf") * (K1 + 1) / (F.col("wf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    size = asked.groupBy("qid").agg(F.count("*").alias("n_terms"))
-    scored = asked.join(weighed.select("term", "chunk_id", part.alias("part")), "term").groupBy("qid", "chunk_id").agg(F.count("*").alias("matched"), F.round(F.sum("part"), 12).alias("bm25"))
+    terms = F.posexplode(T.query_tokens(F.col("question"))).alias("pos", "term")
+    asked = questions.select("qid", F.size(T.query_tokens(F.col("question"))).alias("n_terms"), terms).drop("pos")
+    asked = bounded(asked, most_rows, "asked", MOST_BROADCAST_BYTES // 4)
+    total = index.sizes.agg(F.sum("chunks").alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avg_length"))
+    df = index.postings.join(asked.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = asked.join(df, "term").join(F.broadcast(total)).select("qid", "term", "n_terms", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "avg_length")
+    hits = index.postings.select("term", "chunk_id", "wf", "length")
+    if is_broadcast(asked):
+        pairs = hits.join(F.broadcast(weighed), "term")  # no more rows than asked has, and a few bytes more in each
+    else:
+        salted = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = hits.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    part = F.col("idf") * F.col("wf") * (K1 + 1) / (F.col("wf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    scored = pairs.groupBy("qid", "chunk_id").agg(F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"), F.round(F.sum(part), 12).alias("bm25"))
     best = Window.partitionBy("qid").orderBy((F.col("matched") == F.col("n_terms")).desc(), F.desc("bm25"), "chunk_id")
-    return scored.join(size, "qid").withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)
+    return scored.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)
+
+
+def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
+    """:func:`search` over an index that is built for it."""
+    return search(build(chunks), questions, k)

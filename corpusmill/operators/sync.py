@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import urls
 from corpusmill.sources.markup import NO_MAIN, NO_TEXT
+from corpusmill.storage import bounded, free_names
 
 # Versions of the processing that stored states must match.
 PROCESSOR, SKIP_PROCESSOR = "1", "2"
 SKIP, FETCH = "skip", "fetch"
 MOST_ERRORS = 20
+MOST_OBJECTS = 200_000  # catalogue objects that are broadcast
+
+
+def of_subject(objects: DataFrame, subject_slug: str | None) -> DataFrame:
+    """The objects of one subject, or all."""
+    return objects if subject_slug is None else objects.where(F.col("subject_slug") == subject_slug)
 
 
 def match_pages(objects: DataFrame, entries: DataFrame, subject_slug: str | None = None, limit: int | None = None) -> DataFrame:
@@ -20,11 +27,15 @@ def match_pages(objects: DataFrame, entries: DataFrame, subject_slug: str | None
 
     A sitemap entry (position, url, lastmod) belongs to an object if it is the object's root or lies below it; of several
     objects the first in the catalogue has it. An object without entries gets its root as a page. Each URL is exploded to its
-    ancestors and joined on equality, so there is no nested loop.
+    ancestors and joined on equality, so there is no nested loop. Objects are broadcast if they are few, and the join is an inner one, so
+    that no site's pages meet in one task; what has no pages is added afterwards.
     """
-    chosen = objects if subject_slug is None else objects.where(F.col("subject_slug") == subject_slug)
+    chosen = bounded(of_subject(objects, subject_slug), MOST_OBJECTS, "objects")
     below = entries.select("url", "lastmod", F.col("position").alias("entry_position"), F.explode(urls.ancestors(F.col("url"))).alias("root_url"))
-    rows = chosen.join(below, "root_url", "left").withColumn("url", F.coalesce("url", "root_url"))
+    found = below.join(chosen, "root_url")
+    empty = chosen.join(found.select("root_url").distinct(), "root_url", "left_anti")
+    alone = empty.withColumns({"url": F.col("root_url"), "lastmod": F.lit(None).cast("string"), "entry_position": F.lit(None).cast(dict(below.dtypes)["entry_position"])})
+    rows = found.unionByName(alone)
     first = Window.partitionBy("url").orderBy("position", F.col("entry_position").asc_nulls_last())
     pages = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
     if limit is not None:
@@ -88,9 +99,10 @@ def merge_chunks(stored: DataFrame, fresh: DataFrame, changed: DataFrame) -> Dat
 
 def merge_skips(stored: DataFrame, fresh: DataFrame, stored_documents: DataFrame | None = None) -> DataFrame:
     """The latest of ``stored`` and ``fresh`` skip rows for each url, without the urls of documents written since."""
-    both = stored.withColumn("__cm_new", F.lit(0)).unionByName(fresh.select(*stored.columns).withColumn("__cm_new", F.lit(1)))
-    last = Window.partitionBy("url").orderBy(F.desc("__cm_new"), F.col("lastmod").desc_nulls_last(), "reason")
-    out = both.withColumn("__cm_k", F.row_number().over(last)).where("__cm_k = 1").drop("__cm_k", "__cm_new")
+    new, k = free_names(stored, "is_new", "k")
+    both = stored.withColumn(new, F.lit(0)).unionByName(fresh.select(*stored.columns).withColumn(new, F.lit(1)))
+    last = Window.partitionBy("url").orderBy(F.desc(new), F.col("lastmod").desc_nulls_last(), "reason")
+    out = both.withColumn(k, F.row_number().over(last)).where(F.col(k) == 1).drop(k, new)
     return out if stored_documents is None else out.join(stored_documents.select("url"), "url", "left_anti")
 
 
@@ -116,5 +128,6 @@ def run_summary(planned: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def deactivate(documents: DataFrame, stale: DataFrame) -> DataFrame:
     """Opt-in: documents whose url is in ``stale`` become inactive."""
-    gone = stale.select("url").distinct().withColumn("__cm_gone", F.lit(True))
-    return documents.join(gone, "url", "left").withColumn("active", F.col("active") & F.col("__cm_gone").isNull()).drop("__cm_gone")
+    (gone,) = free_names(documents, "is_gone")
+    left = stale.select("url").distinct().withColumn(gone, F.lit(True))
+    return documents.join(left, "url", "left").withColumn("active", F.col("active") & F.col(gone).isNull()).drop(gone)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.models import Embedder
 from corpusmill.session import ship
+from corpusmill.storage import materialize
 
 TOP = 20
 LEAST_NORM = 1e-12
@@ -37,10 +38,16 @@ def scan(chunks: DataFrame, documents: DataFrame, model: str) -> DataFrame:
     return chunks.where(F.col("embedding").isNotNull() & (F.col("embedding_model") == model)).join(live, "url")
 
 
-def pending(chunks: DataFrame, documents: DataFrame, model: str) -> DataFrame:
-    """Chunks of active documents without a vector of ``model``; null-safe."""
+def pending(chunks: DataFrame, documents: DataFrame, model: str, limit: int | None = None, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Chunks of active documents without a vector of ``model``, null-safe; with ``limit`` the first so many in ``order``."""
     live = documents.where("active").select("url", "title", "subject")
-    return chunks.where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model))).join(live, "url")
+    rows = chunks.where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model))).join(live, "url")
+    return rows if limit is None else rows.orderBy(*order).limit(max(0, limit))
+
+
+def remaining(chunks: DataFrame, documents: DataFrame, model: str) -> DataFrame:
+    """One row: how many chunks are pending."""
+    return pending(chunks, documents, model).agg(F.count("*").alias("remaining"))
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder, batch: int = 8) -> DataFrame:
@@ -65,7 +72,8 @@ def _similar(k: int):
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), LEAST_NORM) for x in (a, b))
         ids, out = rows["chunk_id"].to_numpy(), []
         for qid, sims in zip(asks["qid"], np.round(a @ b.T, 9)):
-            best = np.lexsort((ids, -sims))[:k]
+            near = np.flatnonzero(sims >= np.partition(sims, -k)[-k]) if len(sims) > k else np.arange(len(sims))  # ties included
+            best = near[np.lexsort((ids[near], -sims[near]))[:k]]
             out.append(pd.DataFrame({"qid": qid, "chunk_id": ids[best], "sim": sims[best]}))
         return pd.concat(out)
 
@@ -79,7 +87,8 @@ def semantic_topk(questions: DataFrame, vectors: DataFrame, k: int = TOP) -> Dat
     (to 9 places) go by chunk_id. Null vectors take no part.
     """
     ship(vectors.sparkSession)
-    asks, rows = questions.where("vector IS NOT NULL").select("qid", F.col("vector").alias("v")), vectors.where("vector IS NOT NULL").select("chunk_id", F.col("vector").alias("v"))
+    asks = materialize(questions.where("vector IS NOT NULL").select("qid", F.col("vector").alias("v")), "asks")
+    rows = materialize(vectors.where("vector IS NOT NULL").select("chunk_id", F.col("vector").alias("v")), "rows")
     n_a, n_r = (max(1, -(-x.count() // BLOCK)) for x in (asks, rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asks.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(n_a)).alias("a"), every(n_r).alias("r"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators import lexical
 from corpusmill.settings import Settings
-from corpusmill.storage import table
+from corpusmill.storage import fingerprint, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the corpus. It is built when the first search needs it, and again if the files have changed since."""
+    key = (spark.sparkContext.applicationId, *fingerprint(table(spark, sf_dir, "documents")))
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build(corpus(spark, sf_dir))
+    return _INDEXES[key]
+
+
 CORPUS = f"""corpus AS (
   SELECT doc_id AS chunk_id, '{SITE}/' || coalesce(source, '') || '/' || doc_id AS url, split_part(coalesce(text, ''), chr(10), 1) AS title,
     coalesce(source, '') AS subject, coalesce(lang, '') AS heading, coalesce(text, '') AS text FROM documents)"""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import urls
 from corpusmill.operators import audit, extract, sync
-from corpusmill.plans.base import CORPUS, SETTINGS, SITE, corpus, literal, query
+from corpusmill.plans.base import CORPUS, SETTINGS, SITE, corpus, literal, query, values
 from corpusmill.sources import markup
-from corpusmill.storage import materialize, table
+from corpusmill.storage import materialize, numbered, table
 
 # --- catalogue and sitemaps: literal inputs
 CATALOG = """<html><body><h4><a href="/early">Early</a></h4><main><h3>Historia Universal</h3><h5><a href="/historia/uno/">Uno</a></h5>
@@ -28,7 +28,14 @@ SITEMAPS = [
 ]
 
 
-@query()
+_OBJECTS_READ = [
+    (SITE, 1, f"{SITE}/historia/uno", "Uno again", "Biología", "biologia"),
+    (SITE, 4, f"{SITE}/historia/dos", "Dos & más", "Historia Universal", "historia-universal"),
+    (SITE, 8, f"{SITE}/bio/tres", "Tres", "Biología", "biologia"),
+]
+
+
+@query(f"SELECT base, position::INTEGER AS position, root_url, title, subject, subject_slug FROM {values(_OBJECTS_READ, 'base, position, root_url, title, subject, subject_slug')}")
 def catalog_parse(spark, sf_dir):
     return markup.parse_catalog(literal(spark, [(SITE, CATALOG)], "base string, html string"))
 
@@ -37,12 +44,16 @@ def _sitemaps(spark):
     return literal(spark, SITEMAPS, "source string, xml string")
 
 
-@query()
+_PAGES_READ = [(1, 0, "page", f"{SITE}/historia/uno", "2026-01-01T10:00Z"), (1, 1, "page", f"{SITE}/historia/uno/a", None), (3, 0, "page", f"{SITE}/deep", None)]
+_ENTRIES_READ = [(SITEMAPS[k][0], *row) for k, *row in [(0, 0, "index", f"{SITE}/s1.xml", None), (0, 1, "index", f"{SITE}/s2.xml", None), (2, 0, "index", f"{SITE}/s3.xml", None), *_PAGES_READ]]
+
+
+@query(f"SELECT source, pos::INTEGER AS pos, kind, url, lastmod FROM {values(_ENTRIES_READ, 'source, pos, kind, url, lastmod')}")
 def sitemap_parse(spark, sf_dir):
     return markup.parse_sitemaps(_sitemaps(spark))
 
 
-@query()
+@query(f"SELECT url, lastmod FROM {values([r[3:] for r in _PAGES_READ[:2]], 'url, lastmod')}")
 def sitemap_expand(spark, sf_dir):
     return markup.expand_sitemaps(SITEMAPS[0][0], _sitemaps(spark))
 
@@ -59,10 +70,10 @@ def _entries(spark, sf_dir):
 
 
 def _objects(spark, sf_dir):
-    """Sites are few next to pages; their order is one sort of a distinct set."""
     roots = table(spark, sf_dir, "pages").select(F.regexp_extract("url", _ROOT, 1).alias("root_url")).unionByName(literal(spark, [(f"{SITE}/empty",)], "root_url string")).distinct()
     subject = F.regexp_extract("root_url", "([^/]*)$", 1)
-    return roots.select("root_url", F.row_number().over(Window.orderBy("root_url")).alias("position"), F.concat(F.lit("T "), "root_url").alias("title"), subject.alias("subject"), T.slug(subject).alias("subject_slug"))
+    placed = numbered(roots, "root_url", "position")
+    return placed.select("root_url", "position", F.concat(F.lit("T "), "root_url").alias("title"), subject.alias("subject"), T.slug(subject).alias("subject_slug"))
 
 
 _MATCHED = f"""{_ENTRIES}, {_OBJECTS},
@@ -75,50 +86,81 @@ def match_pages(spark, sf_dir):
     return sync.match_pages(_objects(spark, sf_dir), _entries(spark, sf_dir)).drop("subject_slug")
 
 
+_SUBJECT = "fr"
+
+
+@query(f"WITH {_MATCHED.replace('FROM objects o LEFT', f"FROM (SELECT * FROM objects WHERE subject = '{_SUBJECT}') o LEFT")} SELECT url, lastmod, root_url, title FROM matched")
+def match_subject(spark, sf_dir):
+    """The pages of one subject's objects."""
+    return sync.match_pages(_objects(spark, sf_dir), _entries(spark, sf_dir), _SUBJECT).drop("subject_slug", "subject")
+
+
 @query(f"WITH {_OBJECTS} SELECT subject, count(*) AS objects, min(position)::INTEGER AS first_position FROM objects GROUP BY subject")
 def subject_counts(spark, sf_dir):
     return audit.subject_counts(_objects(spark, sf_dir)).drop("subject_slug")
 
 
-# --- extraction
+# --- extraction: the pages, and some that are bad or cite themselves
+_LONG = "Palabras suficientes para que la sección de esta página se conserve entera."
+_SPECIAL = [
+    ("-1", "<div><h1>No block holds this heading</h1><p>x</p></div>"),
+    ("-2", "<main><h1>Short</h1><p>too short</p></main>"),
+    ("-3", ""),
+    ("-4", f"<main><h1>Cita</h1><p>{_LONG}</p><p>Cómo citar este objeto de aprendizaje Autoría, A. (2020). https://s.example/x</p><p>y más</p></main>"),
+]
+_CITED = "Autoria, A. (2020). https://s.example/x"
+_SPECIAL_BLOCKS = [("-2", 0, "h", "Short"), ("-2", 1, "b", "too short"), ("-4", 0, "h", "Cita"), ("-4", 1, "b", _LONG), ("-4", 2, "b", "Cómo citar este objeto de aprendizaje Autoría, A. (2020). https://s.example/x"), ("-4", 3, "b", "y más")]
+_UNESCAPED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39))"
+_PLAIN = r"trim(regexp_replace(regexp_replace(" + _UNESCAPED.format(r"regexp_replace(t, '<[^>]*>', ' ', 'g')") + r", '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
+_BLOCKS = rf"""parts AS (SELECT page_id::VARCHAR AS url, string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<h1>|<p>')[2:] AS l FROM pages),
+found AS (SELECT url, generate_subscripts(l, 1) AS k, CASE WHEN generate_subscripts(l, 1) = 1 THEN 'h' ELSE 'b' END AS kind, unnest(l) AS t FROM parts),
+plain AS (SELECT url, k, kind, {_PLAIN} AS text FROM found),
+blocks AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY k) - 1 AS pos, kind, text FROM plain
+  WHERE CASE WHEN kind = 'h' THEN text <> '' ELSE length(text) >= 2 AND lower(trim(text, ' .')) NOT IN ({", ".join(repr(b) for b in T.BOILERPLATE)}) END
+  UNION ALL SELECT url, pos, kind, text FROM {values(_SPECIAL_BLOCKS, "url, pos, kind, text")}),
+sections AS (SELECT url, any_value(text) FILTER (kind = 'h') AS heading, list_aggregate(list(text ORDER BY pos) FILTER (kind = 'b' AND first), 'string_agg', chr(10)) AS blocks,
+  sum(length(text) + 1) FILTER (kind = 'b' AND first) - 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY url, kind, text ORDER BY pos) = 1 AS first FROM blocks) GROUP BY url)"""
+
+
 def _read(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return extract.sectionise(markup.read_pages(pages.select(F.col("page_id").cast("string").alias("url"), "html")))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html").unionByName(literal(spark, _SPECIAL, "url string, html string"))
+    return extract.sectionise(markup.read_pages(pages))
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT url, pos::INTEGER AS pos, kind, text FROM blocks")
 def extract_blocks(spark, sf_dir):
     return _read(spark, sf_dir).select("url", F.posexplode("items").alias("pos", "item")).select("url", "pos", "item.kind", "item.text")
 
 
-@query(r"""SELECT page_id::VARCHAR AS url, regexp_replace(trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g')), '\s+', ' ', 'g') AS title FROM pages""")
+@query(rf"""SELECT page_id::VARCHAR AS url, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;?', '&', 'g'), '&quot;', '"'), '\s+', ' ', 'g')) AS title FROM pages
+UNION ALL SELECT url, title FROM {values([("-1", ""), ("-2", "Short"), ("-3", ""), ("-4", "Cita")], "url, title")}""")
 def extract_title(spark, sf_dir):
     return _read(spark, sf_dir).select("url", "title")
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT url, 0 AS section_no, heading, blocks FROM sections WHERE n >= {extract.LEAST_SECTION}")
 def sectionise(spark, sf_dir):
     return _read(spark, sf_dir).select("url", F.posexplode("sections").alias("section_no", "s")).select("url", "section_no", "s.heading", F.array_join("s.blocks", "\n").alias("blocks"))
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT url, '{markup.NO_TEXT}' AS error FROM sections WHERE coalesce(n, 0) < {extract.LEAST_SECTION} UNION ALL SELECT url, error FROM {values([('-1', markup.NO_MAIN), ('-3', markup.NO_MAIN)], 'url, error')}")
 def extract_errors(spark, sf_dir):
     return _read(spark, sf_dir).where("error IS NOT NULL").select("url", "error")
 
 
-@query()
+@query(f"SELECT page_id::VARCHAR AS url, NULL::VARCHAR AS citation FROM pages UNION ALL SELECT url, citation FROM {values([('-1', None), ('-2', None), ('-3', None), ('-4', _CITED)], 'url, citation')}")
 def citation_extract(spark, sf_dir):
     return _read(spark, sf_dir).select("url", "citation")
 
 
-# Documents as sections: the first line is the heading, the others are blocks.
-_LINES = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
+# Documents as sections: the first line is the heading, the others are blocks. A null text is empty.
+_LINES = "ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
 
 
 def _sections(spark, sf_dir):
-    lines = F.split("text", "\n")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     section = F.struct(lines[0].alias("heading"), F.filter(lines, lambda x, i: i > 0).alias("blocks"))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.array(section).alias("sections"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.array(section).alias("sections"))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, array_to_string(l, chr(10) || chr(10)) AS text FROM ls WHERE l[1] <> '' UNION ALL SELECT doc_id, array_to_string(l[2:], chr(10) || chr(10)) FROM ls WHERE l[1] = ''")
@@ -133,20 +175,37 @@ _GAP = f"CASE WHEN contains({_HEAD}, ' ') THEN length({_HEAD}) - strpos(reverse(
 _CUT = f"CASE WHEN {_SENTENCE} >= {_MOST // 2} THEN {_SENTENCE} WHEN {_GAP} >= {_MOST // 2} THEN {_GAP} ELSE {_MOST} END"
 
 
-@query(f"""
-WITH RECURSIVE r AS (
-  SELECT doc_id, text AS rest, NULL::VARCHAR AS piece, -1 AS piece_no FROM documents WHERE text IS NOT NULL
-  UNION ALL
-  SELECT doc_id, CASE WHEN length(rest) > {_MOST} THEN trim(substring(rest, {_CUT} + 2), ' ' || chr(10)) ELSE '' END, CASE WHEN length(rest) > {_MOST} THEN trim(substring(rest, 1, {_CUT} + 1), ' ' || chr(10)) ELSE rest END, piece_no + 1
-  FROM r WHERE rest <> '' OR piece_no = -1)
-SELECT doc_id, piece_no::INTEGER AS piece_no, piece AS text FROM r WHERE piece_no >= 0
-""")
+def _pieces(source: str, key: str) -> str:
+    """SQL for the pieces of ``source`` (``key``, text)."""
+    return f"""r AS (SELECT {key}, text AS rest, NULL::VARCHAR AS piece, -1 AS piece_no FROM {source}
+  UNION ALL SELECT {key}, CASE WHEN length(rest) > {_MOST} THEN trim(substring(rest, {_CUT} + 2), ' ' || chr(10)) ELSE '' END,
+    CASE WHEN length(rest) > {_MOST} THEN trim(substring(rest, 1, {_CUT} + 1), ' ' || chr(10)) ELSE rest END, piece_no + 1 FROM r WHERE rest <> '' OR piece_no = -1)"""
+
+
+@query(f"WITH RECURSIVE {_pieces("(SELECT doc_id, coalesce(text, '') AS text FROM documents)", 'doc_id')} SELECT doc_id, piece_no::INTEGER AS piece_no, piece AS text FROM r WHERE piece_no >= 0")
 def split_blocks(spark, sf_dir):
-    """Whole texts as blocks."""
-    return extract.split_blocks(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text")
+    """Whole texts as blocks. A null text is empty."""
+    return extract.split_blocks(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
 
 
-@query()
+_GAPS = "' ' || chr(10)"
+_HELD_TAIL = f"ltrim(right(trim(held, {_GAPS}), {extract.OVERLAP}), {_GAPS})"
+_TAIL = f"CASE WHEN length(trim(held, {_GAPS})) > {extract.OVERLAP} AND contains({_HELD_TAIL}, ' ') THEN substring({_HELD_TAIL}, strpos({_HELD_TAIL}, ' ') + 1) ELSE {_HELD_TAIL} END"
+_OVER = f"held IS NOT NULL AND size + length(piece) + 2 > {_MOST}"
+_JOIN = "chr(10) || chr(10)"
+
+
+@query(f"""
+WITH RECURSIVE {_LINES}, lines AS (SELECT doc_id, generate_subscripts(l[2:], 1) AS line_no, unnest(l[2:]) AS text FROM ls), {_pieces("lines", "doc_id, line_no")},
+p AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, piece_no) AS n, count(*) OVER (PARTITION BY doc_id) AS last FROM r WHERE piece_no >= 0),
+pk AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, NULL::VARCHAR AS held, 0::BIGINT AS size, NULL::VARCHAR AS done, last FROM p
+  UNION ALL SELECT doc_id, n, CASE WHEN held IS NULL THEN piece WHEN NOT is_over THEN held || {_JOIN} || piece WHEN tail <> '' AND tail <> piece THEN tail || {_JOIN} || piece ELSE piece END,
+    CASE WHEN held IS NULL THEN length(piece) WHEN NOT is_over THEN size + length(piece) + 2 WHEN tail <> '' AND tail <> piece THEN length(tail) + length(piece) + 2 ELSE length(piece) END,
+    CASE WHEN is_over THEN held END, last
+  FROM (SELECT p.doc_id, p.n, piece, held, size, pk.last, {_OVER} AS is_over, {_TAIL} AS tail FROM pk JOIN p ON p.doc_id = pk.doc_id AND p.n = pk.n + 1)),
+c AS (SELECT doc_id, n, 0 AS k, done AS text FROM pk WHERE done IS NOT NULL UNION ALL SELECT doc_id, n, 1, held FROM pk WHERE n = last)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1)::INTEGER AS ordinal, l[1] AS heading, trim(text, {_GAPS}) AS text FROM c JOIN ls USING (doc_id)
+""")
 def chunk_documents(spark, sf_dir):
     return extract.chunk_documents(_sections(spark, sf_dir), "doc_id")
 
@@ -332,17 +391,43 @@ def indexed_subjects(spark, sf_dir):
     return audit.subjects(_documents(spark, sf_dir))
 
 
-@query(f"""
-WITH {_ENTRIES}, {_OBJECTS}, {_SETS}, {_STATS}
-SELECT (SELECT count(*) FROM objects) AS catalog_objects, (SELECT count(DISTINCT subject) FROM objects) AS catalog_subjects, (SELECT count(url) - count(DISTINCT url) FROM entries) AS duplicate_urls,
+_EMPTY = "SELECT root_url FROM objects o WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.url = o.root_url OR starts_with(e.url, o.root_url || '/'))"
+_BAD = f"SELECT url FROM discovered WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '{SETTINGS.site}'"
+_COUNTS = f"""SELECT (SELECT count(*) FROM objects) AS catalog_objects, (SELECT count(DISTINCT subject) FROM objects) AS catalog_subjects, (SELECT count(url) - count(DISTINCT url) FROM entries) AS duplicate_urls,
   (SELECT count(*) FROM discovered) AS discovered_pages, (SELECT count(*) FROM states WHERE is_discovered AND is_indexed) AS indexed_pages, (SELECT count(*) FROM states WHERE is_discovered AND is_skipped) AS skipped_pages,
-  (SELECT coalesce(list(url ORDER BY url), []) FROM states WHERE is_discovered AND NOT is_indexed AND NOT is_skipped) AS missing_pages, (SELECT coalesce(list(url ORDER BY url), []) FROM states WHERE NOT is_discovered AND is_indexed) AS stale_pages,
-  (SELECT coalesce(list(root_url ORDER BY root_url), []) FROM objects o WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.url = o.root_url OR starts_with(e.url, o.root_url || '/'))) AS objects_without_pages,
-  (SELECT coalesce(list(url ORDER BY url), []) FROM discovered WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '{SETTINGS.site}') AS malformed_urls, documents, chunks, embedded_chunks, chunks > 0 AND chunks = embedded_chunks AS index_ready, false AS complete FROM stats
-""")
+  (SELECT count(*) FROM states WHERE is_discovered AND NOT is_indexed AND NOT is_skipped) AS missing_pages, (SELECT count(*) FROM states WHERE NOT is_discovered AND is_indexed) AS stale_pages,
+  (SELECT count(*) FROM ({_EMPTY})) AS objects_without_pages, (SELECT count(*) FROM objects) - (SELECT count(*) FROM ({_EMPTY})) AS objects_with_pages, (SELECT count(*) FROM ({_BAD})) AS malformed_urls,
+  (SELECT count(DISTINCT coalesce(source, '')) FROM documents) AS indexed_subjects, documents, chunks, embedded_chunks, chunks > 0 AND chunks = embedded_chunks AS index_ready, false AS complete FROM stats"""
+
+
+@query(f"WITH {_ENTRIES}, {_OBJECTS}, {_SETS}, {_STATS} {_COUNTS}")
 def audit_summary(spark, sf_dir):
     """No page of the tables is on the engine's own site, so all are malformed here."""
-    return audit.summary(_objects(spark, sf_dir), _entries(spark, sf_dir), _states(spark, sf_dir), audit.corpus_stats(_documents(spark, sf_dir), _chunks(spark, sf_dir)), SETTINGS)
+    documents = _documents(spark, sf_dir)
+    return audit.summary(_objects(spark, sf_dir), _entries(spark, sf_dir), _states(spark, sf_dir), documents, audit.corpus_stats(documents, _chunks(spark, sf_dir)), SETTINGS)
+
+
+@query(f"""
+WITH {_ENTRIES}, {_OBJECTS}, {_SETS}
+SELECT 'missing' AS kind, url FROM states WHERE is_discovered AND NOT is_indexed AND NOT is_skipped UNION ALL SELECT 'stale', url FROM states WHERE NOT is_discovered AND is_indexed
+UNION ALL SELECT 'without_pages', root_url FROM ({_EMPTY}) UNION ALL SELECT 'malformed', url FROM ({_BAD})
+""")
+def audit_issues(spark, sf_dir):
+    return audit.issues(_objects(spark, sf_dir), _entries(spark, sf_dir), _states(spark, sf_dir), SETTINGS)
+
+
+_OF_SUBJECT = f"""{_ENTRIES.replace('entries AS', 'all_entries AS')}, {_OBJECTS.replace('objects AS', 'all_objects AS')}, objects AS (SELECT * FROM all_objects WHERE subject = '{_SUBJECT}'),
+entries AS (SELECT * FROM all_entries e WHERE EXISTS (SELECT 1 FROM objects o WHERE e.url = o.root_url OR starts_with(e.url, o.root_url || '/')))"""
+
+
+@query(f"WITH {_OF_SUBJECT}, {_SETS.replace('SELECT DISTINCT url FROM pages),', 'SELECT DISTINCT url FROM entries),', 1)}, {_STATS} {_COUNTS}")
+def audit_subject(spark, sf_dir):
+    """The audit of one subject: its objects and the sitemap entries below them, against all that is indexed."""
+    objects, entries = audit.of_subject(_objects(spark, sf_dir), _entries(spark, sf_dir), _SUBJECT)
+    pages, documents = table(spark, sf_dir, "pages"), _documents(spark, sf_dir)
+    indexed = pages.where(F.length("html") > 2000).select("url").unionByName(literal(spark, [(_STALE,)], "url string"))
+    states = audit.url_states(entries.select("url"), indexed, pages.where(F.length("html") < 1500).select("url"))
+    return audit.summary(objects, entries, states, documents, audit.corpus_stats(documents, _chunks(spark, sf_dir)), SETTINGS)
 
 
 @query(f"WITH {_ENTRIES} SELECT url, list_sort(list_distinct(list_transform(range(1, len(string_split(url, '/')) + 1), lambda n: array_to_string(string_split(url, '/')[1:n], '/')))) AS ancestors FROM entries")

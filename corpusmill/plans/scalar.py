@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import temporal, urls
 from corpusmill.functions import text as T
 from corpusmill.plans.base import CORPUS, QUESTIONS, SETTINGS, corpus, literal, query, questions, values
+from corpusmill.sources import fetch
 from corpusmill.storage import table
 
 _FOLD = "strip_accents({})"
@@ -44,7 +45,7 @@ def excerpt(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents")
 def accent_fold(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.unaccented(F.col("text")).alias("folded"))
 
 
 @query(f"WITH {CORPUS} SELECT chunk_id, {_SLUG.format('title')} AS title_slug, {_SLUG.format('subject')} AS subject_slug FROM corpus")
@@ -104,6 +105,25 @@ def robots_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", urls.allowed(urls.path(F.col("url")), rules).alias("allowed"))
 
 
+ROBOTS = """User-agent: other
+Disallow: /
+
+User-agent: corpusmill
+Disallow: /en/6  # the first rule that fits holds
+Allow: /en/
+Disallow: /fr/8
+Disallow:
+"""
+
+
+@query(r"""
+SELECT page_id, url, NOT (starts_with(p, '/en/6') OR (starts_with(p, '/fr/8'))) AS allowed FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+""")
+def robots_rules(spark, sf_dir):
+    """By the text of a robots.txt with groups of agents."""
+    return fetch.robots_allowed(table(spark, sf_dir, "pages").select("page_id", "url"), {}, "corpusmill", ROBOTS)
+
+
 _TIMES = [(-1, "El 16 de septiembre de 1810 inició."), (-2, "Fue en 1821."), (-3, "En el siglo XIX hubo."), (-4, "Nada de eso."), (-5, "primero de mayo"), (-6, "el 5/2/1917 y 12-10-92"), (-7, "SIGLO IV"), (-8, "código 31810")]
 
 

@@ -8,7 +8,7 @@ from corpusmill.functions import temporal
 from corpusmill.functions import text as T
 from corpusmill.models import EchoGenerator, HashEmbedder
 from corpusmill.operators import answers, audit, hybrid, lexical, vectors
-from corpusmill.plans.base import CORPUS, SETTINGS, corpus, literal, query, questions, values
+from corpusmill.plans.base import CORPUS, SETTINGS, corpus, index, literal, query, questions, values
 from corpusmill.plans.scalar import ASKED_TERMS
 from corpusmill.storage import bounded, materialize, table
 
@@ -32,12 +32,12 @@ lex AS (SELECT * FROM (SELECT s.*, n_terms, row_number() OVER (PARTITION BY qid
 
 @query(f"WITH {WORDS} SELECT term, chunk_id, length, count(*) AS tf, sum(w)::DOUBLE AS wf FROM words JOIN lens USING (chunk_id) GROUP BY ALL")
 def postings(spark, sf_dir):
-    return lexical.postings(lexical.token_rows(corpus(spark, sf_dir)))
+    return index(spark, sf_dir).postings
 
 
 @query(f"WITH {LEXICAL} SELECT qid, chunk_id, matched, n_terms, round(bm25, 6) AS bm25, lexical_rank::INTEGER AS lexical_rank FROM lex")
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25_topk(questions(spark, sf_dir), corpus(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    return lexical.search(index(spark, sf_dir), questions(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
 
 
 # --- vectors
@@ -83,7 +83,27 @@ def pending_embeddings(spark, sf_dir):
     return vectors.pending(*_stored(spark, sf_dir), MODEL).select("chunk_id", "url")
 
 
-@query()
+_FIRST = 100
+
+
+@query(f"WITH {CORPUS} SELECT chunk_id, url FROM corpus LEFT JOIN embeddings ON vec_id = chunk_id WHERE embedding IS NULL ORDER BY chunk_id LIMIT {_FIRST}")
+def pending_batch(spark, sf_dir):
+    """The batch that an incremental run embeds next: the limit is what it is about."""
+    return vectors.pending(*_stored(spark, sf_dir), MODEL, _FIRST).select("chunk_id", "url")
+
+
+@query("SELECT count(*) AS remaining FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE embedding IS NULL")
+def pending_count(spark, sf_dir):
+    return vectors.remaining(*_stored(spark, sf_dir), MODEL)
+
+
+@query(f"""
+WITH {CORPUS}, i AS (SELECT chunk_id, lower('Asignatura: ' || subject || chr(10) || 'Recurso: ' || title || chr(10) || 'Seccion: ' || heading || chr(10) || text) AS input FROM corpus LEFT JOIN embeddings ON vec_id = chunk_id WHERE embedding IS NULL),
+w AS (SELECT chunk_id, sha256(unnest(regexp_extract_all(input, '[^\\s]+'))) AS h FROM i),
+d AS (SELECT chunk_id, ('0x' || substr(h, 1, 2))::INTEGER % 16 AS dim, sum(CASE WHEN ('0x' || substr(h, 3, 2))::INTEGER % 2 = 1 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+m AS (SELECT chunk_id, map(list(dim), list(x)) AS m FROM d GROUP BY chunk_id)
+SELECT i.chunk_id, list_transform(range(16), lambda k: coalesce(m[k::INTEGER], 0)::FLOAT) AS vector FROM i JOIN m USING (chunk_id)
+""")
 def embed_pending(spark, sf_dir):
     """Pending chunks with vectors of the deterministic stand-in for a model."""
     chunks, documents = _stored(spark, sf_dir)
@@ -93,7 +113,7 @@ def embed_pending(spark, sf_dir):
 
 # --- hybrid
 def _hits(spark, sf_dir):
-    return vectors.semantic_topk(_asked(spark, sf_dir), _vectors(spark, sf_dir)), lexical.bm25_topk(questions(spark, sf_dir), corpus(spark, sf_dir))
+    return vectors.semantic_topk(_asked(spark, sf_dir), _vectors(spark, sf_dir)), lexical.search(index(spark, sf_dir), questions(spark, sf_dir))
 
 
 def _reranked(spark, sf_dir):
@@ -165,16 +185,29 @@ def sources_list(spark, sf_dir):
     return answers.sources_list(_found(spark, sf_dir), SETTINGS)
 
 
-@query()
+_SOURCE = """struct_pack(title := title, heading := heading, subject := subject, url := url)"""
+
+
+@query(f"""
+WITH {GATE}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, url ORDER BY rank) AS k FROM best) WHERE k = 1),
+src AS (SELECT qid, list({_SOURCE} ORDER BY rank) AS sources FROM first GROUP BY qid),
+q AS (SELECT qid, sufficient, CASE WHEN sources IS NULL THEN '{{"type":"sources","sources":[]}}' ELSE to_json(struct_pack("type" := 'sources', sources := sources)) END AS first FROM gate LEFT JOIN src USING (qid))
+SELECT qid, 0 AS seq, first AS event FROM q
+UNION ALL SELECT qid, 1, to_json(struct_pack("type" := 'token', content := CASE WHEN sufficient THEN 'Fuentes:' ELSE '{answers.REFUSAL}' END)) FROM q
+UNION ALL SELECT qid, 2, to_json(struct_pack("type" := 'done', refused := NOT sufficient)) FROM q
+""")
 def chat_events(spark, sf_dir):
-    """Events for every question, answered by a stand-in for a model."""
+    """Events for every question, answered by a stand-in for a model that repeats the prompt's first line."""
     hits, asked = _found(spark, sf_dir), questions(spark, sf_dir)
     return answers.chat(asked, hits, hybrid.gate(asked, hits), EchoGenerator(), SETTINGS)
 
 
-@query("""SELECT conv_id, turn, to_json(struct_pack("type" := CASE WHEN role = 'assistant' THEN 'token' ELSE 'question' END, content := text)) AS event FROM conversations WHERE text IS NOT NULL""")
+_KIND = "\"type\" := CASE WHEN role = 'assistant' THEN 'token' ELSE 'question' END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN text IS NULL THEN to_json(struct_pack({_KIND})) ELSE to_json(struct_pack({_KIND}, content := text)) END AS event FROM conversations")
 def events_ndjson(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", answers.events(F.when(F.col("role") == "assistant", "token").otherwise("question"), content=F.col("text")).alias("event"))
 
 

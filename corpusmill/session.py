@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import weakref
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
+BATCH_BYTES = str(16 << 20)  # of an Arrow batch: rows may be long texts, so a number of rows bounds nothing
 
 
 def session(app: str = "corpusmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,12 +41,14 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source to the executors, once for each context.
 
     Executors fetch it from the driver over RPC, so Python workers can import the functions
-    of UDFs even where the package isn't installed on the nodes.
+    of UDFs even where the package isn't installed on the nodes. Their Arrow batches are bounded by bytes.
     """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc not in _SHIPPED:
         root = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, folder, True)
         target = os.path.join(folder, "corpusmill_src.zip")
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(root.rglob("*.py")):

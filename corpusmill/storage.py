@@ -7,47 +7,67 @@ import contextlib
 import os
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LEFT: list[tuple[SparkSession, str]] = []
+MOST_BROADCAST_BYTES = 64 << 20
+LEAST_SPACE = 8 << 30  # bytes that must be free before a run writes
 
 
-SMALL_BYTES, SPLIT_BYTES = 1 << 20, 4 << 20
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` of a data folder, in whatever store Spark can read, as it lies."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data folder, in whatever store Spark can read.
+def bounded(df: DataFrame, most_rows: int, name: str = "bounded", most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """``df``, written to the shared folder, with a hint to broadcast it if it has at most ``most_rows`` rows and ``most_bytes``.
 
-    A table of some megabytes is often one row group, which is one task whatever the number of cores: where it has less than
-    ``SPLIT_BYTES`` for each core, its rows are dealt out. Larger tables are read as they are, without a shuffle.
+    Bytes are those of the strings and binaries in it, and eight for any other value.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if SMALL_BYTES <= estimated_bytes(df) < SPLIT_BYTES * cores else df
+    out = materialize(df, name)
+    width = lambda f: F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+    each = reduce(add, (F.coalesce(width(f), F.lit(0)) for f in out.schema.fields), F.lit(0))
+    rows, size = out.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    if rows > most_rows or size > most_bytes:
+        return out
+    small = F.broadcast(out)
+    small._corpusmill_small = True
+    return small
 
 
-def bounded(df: DataFrame, most_rows: int, name: str = "bounded") -> DataFrame:
-    """``df``, written to the shared folder, with a hint to broadcast it if it has at most ``most_rows`` rows."""
-    out = materialize(df, name)
-    return F.broadcast(out) if out.count() <= most_rows else out
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether :func:`bounded` found that ``df`` may be broadcast."""
+    return getattr(df, "_corpusmill_small", False)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, the warehouse, or a temporary folder in local mode."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset: a temporary folder in local mode, on a cluster one in the warehouse.
+
+    A warehouse on a local disk is refused on a cluster, as each executor would write to its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = os.path.join(tempfile.gettempdir(), "corpusmill-shared")
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_corpusmill"
+        master = spark.sparkContext.master
+        found = _fallback(master == "local" or master.startswith("local["), spark.conf.get("spark.sql.warehouse.dir"))
     return found.rstrip("/")
 
 
+def _fallback(is_local: bool, warehouse: str) -> str:
+    if is_local:
+        return os.path.join(tempfile.gettempdir(), "corpusmill-shared")
+    if urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: the warehouse is on a local disk")
+    return f"{warehouse.rstrip('/')}/_corpusmill"
+
+
 def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -63,6 +83,44 @@ def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...]
     return out
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in the order of ``by`` in column ``name``, without a sort in one task.
+
+    Rows are dealt to ranges and written; a row's number is its place in its range after the sizes of the ranges before, of which there are few.
+    """
+    (part,) = free_names(df, "part")
+    ranged = materialize(df.repartitionByRange(by).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n")).collect()  # a row for each partition
+    first, before = {}, 0
+    for r in sorted(sizes, key=lambda r: r[0]):
+        first[r[0]], before = before, before + r[1]
+    starts = F.create_map(*(F.lit(x) for kv in first.items() for x in kv)) if first else F.create_map().cast("map<int,int>")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(by)) + starts[F.col(part)]
+    return ranged.withColumn(name, place).drop(part)
+
+
+def check_space(spark: SparkSession, folder: str, least: int = LEAST_SPACE) -> int:
+    """The bytes left in the store of ``folder``; an error if they are fewer than ``least``. A folder that isn't there yet is that above it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not fs.exists(where) and where.getParent() is not None:
+        where = where.getParent()
+    left = fs.getStatus(where).getRemaining()
+    if left < least:
+        raise RuntimeError(f"only {left} bytes are left in {folder}, and {least} are needed")
+    return left
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """The path, length and time of each file that ``df`` reads: equal as long as the files are."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames from :func:`materialize` that no later plan reads."""
     for df in frames:
@@ -90,6 +148,14 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` from file sizes: costs no job. For choosing numbers of partitions only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names like ``stems`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

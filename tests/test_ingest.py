@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.operators import extract, sync
+from corpusmill.models import HashEmbedder
+from corpusmill.operators import extract, lexical, sync
 from corpusmill.plans import ingest
 from corpusmill.plans.base import SITE
 from corpusmill.sources import markup
@@ -74,11 +76,12 @@ def test_citation():
 def test_pieces_keep_the_text_in_order(text, most):
     pieces = extract.cut_block(text, most)
     assert "".join("".join(p.split()) for p in pieces) == "".join(text.split())
-    assert all(len(p) <= most + 1 for p in pieces[:-1]) and len(pieces[-1]) <= max(most, 0) or len(pieces) == 1
+    assert all(len(p) <= most + 1 for p in pieces)  # a hard cut takes one more, also where it uses the text up
 
 
 def test_hard_cut_takes_one_more():
     assert extract.cut_block("x" * 25, 10) == ["x" * 11, "x" * 11, "xxx"]
+    assert extract.cut_block("a" * 18, 5) == ["a" * 6] * 3
 
 
 @settings(max_examples=100, deadline=None)
@@ -121,13 +124,14 @@ def body(n):
 
 
 def test_sync_into_a_store_and_again(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), slots=3)
     first = spark.createDataFrame([("a", "1", "A", "s", body(1)), ("b", None, "B", "s", body(2)), ("c", "1", "C", "s", page("nothing"))], PAGES)
     r = apply(store, first, 0).first()
     assert (r.discovered, r.fetched, r.inserted, r.skipped, r.status) == (3, 3, 2, 1, "completed")
     assert store.read("chunks").count() == 2 and store.read("skips").first().url == "c"
     chunks = store.read("chunks")
-    store.vectors(1, sync.merge_embeddings(chunks, chunks.select("url", "ordinal", F.array(F.lit(1.0).cast("float")).alias("vector")), "m"))
+    store.save_vectors(chunks.select("url", "ordinal", F.array(F.lit(1.0).cast("float")).alias("vector")), "m")
+    assert store.read("chunks").where("embedding IS NOT NULL").count() == 2
     second = spark.createDataFrame([("a", "1", "A", "s", body(9)), ("b", None, "B", "s", body(2)), ("c", "1", "C", "s", body(3)), ("d", "1", "D", "s", body(4))], PAGES)
     r = apply(store, second, 2).first()
     assert (r.discovered, r.inserted, r.updated, r.unchanged, r.skipped) == (4, 1, 0, 1, 2)
@@ -135,8 +139,74 @@ def test_sync_into_a_store_and_again(spark, tmp_path):
     assert r.updated == 1
     rows = {r.url: r.embedding for r in store.read("chunks").collect()}
     assert rows["a"] is None and rows["b"] == [1.0] and rows["d"] is None
+    version = store.version()
     again = apply(store, second.where("url = 'a'").withColumn("lastmod", F.lit("2")), 3).first()
-    assert again.updated == 1 and store.read("chunks").count() == 3
+    assert again.updated == 1 and store.read("chunks").count() == 3 and store.version() == version
+    assert {r.url: r.embedding for r in store.read("chunks").collect()} == rows
+    log = store.runs().orderBy("run_id").collect()
+    assert [(r.batch, r.status) for r in log] == [(0, "completed"), (2, "completed"), (3, "completed")] and all(r.finished_at >= r.started_at for r in log)
+    document = store.read("documents").where("url = 'a'").first()
+    assert document.object_title == "A" and document.title == "T" and LONG in document.clean_text
+    assert store.read("skips").count() == 1 and store.read("skips").first().checked_at is not None
+
+
+def test_vectors_survive_batches_and_embedding_goes_on_where_it_stopped(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), slots=4)
+    pages = lambda *urls: spark.createDataFrame([(u, "1", u, "s", body(u)) for u in urls], PAGES)
+    apply(store, pages("a", "b", "c"), 0)
+    model = HashEmbedder(4)
+    assert store.embed_pending(model, limit=1, batch_rows=1) == (1, 2)
+    apply(store, pages("d"), 1)
+    assert [r.url for r in store.read("chunks").where("embedding IS NOT NULL").collect()] == ["a"]
+    apply(store, pages("d"), 1)
+    assert store.embed_pending(model, batch_rows=2) == (3, 0)
+    assert store.embed_pending(model) == (0, 0)
+    apply(store, spark.createDataFrame([("a", "2", "a", "s", body("new"))], PAGES), 2)
+    assert {r.url for r in store.read("chunks").where("embedding IS NULL").collect()} == {"a"}
+
+
+def test_a_batch_writes_its_own_slots_and_old_folders_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), slots=50)
+    apply(store, spark.createDataFrame([(u, "1", u, "s", body(u)) for u in "abcdefgh"], PAGES), 0)
+    before = store.manifest()["tables"]["documents"]
+    apply(store, spark.createDataFrame([("a", "2", "a", "s", body("x"))], PAGES), 1)
+    after = store.manifest()["tables"]["documents"]
+    (slot,) = store.touched(spark.createDataFrame([("a",)], "url string"))
+    assert {k for k in after if after[k] != before.get(k)} == {str(slot)}
+    for n in range(2, 4):
+        apply(store, spark.createDataFrame([("a", str(n + 1), "a", "s", body(n))], PAGES), n)
+    kept = sorted(int(p.name) for p in (tmp_path / "store/data/documents").iterdir() if p.name.isdigit())
+    assert kept[0] == 1 and len(kept) <= 3 and len([p for p in (tmp_path / "store/versions").iterdir() if p.name.isdigit()]) == 2
+    assert store.read("documents").count() == 8
+
+
+def test_a_failed_batch_changes_nothing_and_is_logged(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    apply(store, spark.createDataFrame([("a", "1", "a", "s", body(1))], PAGES), 0)
+    monkeypatch.setattr(Store, "commit", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        apply(store, spark.createDataFrame([("b", "1", "b", "s", body(1))], PAGES), 1)
+    monkeypatch.undo()
+    assert [r.url for r in store.read("documents").collect()] == ["a"] and store.runs().where("run_id = 2").first().status == "failed"
+    assert apply(store, spark.createDataFrame([("b", "1", "b", "s", body(1))], PAGES), 1).first().inserted == 1
+
+
+def test_the_stored_index_is_kept_up(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), slots=4)
+    apply(store, spark.createDataFrame([(u, "1", u, "s", body(t)) for u, t in (("a", "volcán"), ("b", "río"))], PAGES), 0)
+    apply(store, spark.createDataFrame([("a", "2", "a", "s", body("montaña"))], PAGES), 1)
+    asked = spark.createDataFrame([(1, "volcan"), (2, "montana"), (3, "río texto")], "qid long, question string")
+    kept = lexical.search(store.index(), asked).select("qid", "chunk_id", "bm25").collect()
+    chunks = store.read("chunks").join(store.read("documents").select("url", "title", "subject"), "url").withColumn("chunk_id", F.concat_ws("#", "url", "ordinal"))
+    fresh = lexical.bm25_topk(asked, chunks).select("qid", "chunk_id", "bm25").collect()
+    assert sorted(kept) == sorted(fresh) and {r.qid for r in kept} == {2, 3}
+
+
+def test_no_space_no_run(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), least_space=1 << 60)
+    with pytest.raises(RuntimeError):
+        apply(store, spark.createDataFrame([("a", "1", "a", "s", body(1))], PAGES), 0)
+    assert store.version() is None and store.runs().count() == 0
 
 
 def test_stream_of_pages(spark, tmp_path):
@@ -146,4 +216,4 @@ def test_stream_of_pages(spark, tmp_path):
     spark.createDataFrame([("a", "2", "A", "s", body(2)), ("b", "1", "B", "s", body(3))], PAGES).write.mode("append").parquet(landing)
     follow(spark, landing, store, str(tmp_path / "marks")).awaitTermination()
     assert {r.url: r.lastmod for r in store.read("documents").collect()} == {"a": "2", "b": "1"}
-    assert store.version() == 1
+    assert store.version() == 2

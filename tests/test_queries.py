@@ -57,9 +57,11 @@ def test_audit_and_evaluation_on_literals(spark):
     assert [r.url for r in audit.missing(states).collect()] == ["c"] and [r.url for r in audit.stale(states).collect()] == ["z"]
     site = f"https://{Settings().site}"
     objects = spark.createDataFrame([(f"{site}/a", "x"), (f"{site}/b", "y")], "root_url string, subject_slug string")
+    documents = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "subject string, active boolean")
     states = audit.url_states(u(f"{site}/a/1", f"{site}/b/1"), u(f"{site}/a/1"), u(f"{site}/b/1"))
     stats = spark.createDataFrame([(1, 1, 1)], "documents long, chunks long, embedded_chunks long")
-    row = audit.summary(objects, u(f"{site}/a/1", f"{site}/b/1", f"{site}/b/1"), states, stats, Settings()).first()
+    row = audit.summary(objects, u(f"{site}/a/1", f"{site}/b/1", f"{site}/b/1"), states, documents, stats, Settings()).first()
+    assert row.indexed_subjects == 2 and row.objects_with_pages == 2
     assert row.complete and row.duplicate_urls == 1 and (row.indexed_pages, row.skipped_pages) == (1, 1)
     cases = spark.createDataFrame([(0, "a", True), (1, "q", True), (2, None, False)], "qid long, expected string, should_answer boolean")
     hits = spark.createDataFrame([(0, "x/a"), (1, "x/b"), (2, "x/c")], "qid long, url string")
