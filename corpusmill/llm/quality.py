@@ -17,18 +17,19 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusmill.llm.text import SPACE, encoded, word_blocks
 from corpusmill.session import ship
-from corpusmill.storage import all_columns, materialize, table
+from corpusmill.storage import all_columns, bounded, free_names, is_broadcast, materialize, table
 
 BUCKET_BITS = 18
 BUCKETS, SLICES = 1 << BUCKET_BITS, 64
 PRIOR = 5.0
 QUANTILE = 0.002
+MOST_TRUSTED = 4_000_000  # ids that are broadcast
 STEPS = 1000  # of the histogram, in each unit of score
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words in repeated 3-word windows
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -89,15 +90,16 @@ def ngram_buckets(known: dict[bytes, int], ids: np.ndarray) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's documents in slices, so that sums of slices can be made apart."""
-    totals = np.zeros((2, BUCKETS), dtype=np.int64)
+    """Counts (raw or trusted, order, bucket) of a task's documents in slices, so that sums of slices can be made apart."""
+    totals = np.zeros((2, 2, BUCKETS), dtype=np.int64)
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text, is_trusted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for order, buckets in enumerate(ngram_buckets(*word_ids(encoded(text)))):
-                if len(buckets) > BUCKETS // 8:
-                    totals[order] += np.bincount(buckets, minlength=BUCKETS)
-                else:
-                    np.add.at(totals[order], buckets, 1)
+                for which in range(1 + is_trusted):
+                    if len(buckets) > BUCKETS // 8:
+                        totals[which, order] += np.bincount(buckets, minlength=BUCKETS)
+                    else:
+                        np.add.at(totals[which, order], buckets, 1)
     yield from _slices(dict(enumerate(totals.reshape(SLICES, -1))))
 
 
@@ -114,13 +116,27 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _slices(parts)
 
 
-def ngram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts (order, bucket) over all rows of ``texts`` (text). Their size is fixed, whatever the corpus."""
+def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (order, bucket) over all rows of ``docs`` (doc_id, text), and over those of ``trusted`` (doc_id).
+
+    Their size is fixed, whatever the corpus. One pass over the texts counts both if the trusted ids may be broadcast; else all are counted
+    where they lie, and the trusted ones apart.
+    """
+    texts = docs.select("doc_id", "text")
+    if is_broadcast(trusted):
+        return _counted(texts.join(trusted.withColumn("is_trusted", F.lit(True)), "doc_id", "left"))
+    raw, _ = _counted(texts.withColumn("is_trusted", F.lit(False)))
+    target, _ = _counted(texts.join(trusted, "doc_id", "left_semi").withColumn("is_trusted", F.lit(False)))
+    return raw, target
+
+
+def _counted(flagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     kind = "slice int, counts binary"
-    rows = texts.select("text").mapInArrow(_count, kind).repartition(SLICES, "slice").mapInArrow(_sum, kind).collect()
+    texts = flagged.select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))
+    rows = texts.mapInArrow(_count, kind).repartition(SLICES, "slice").mapInArrow(_sum, kind).collect()  # SLICES rows of a fixed size
     parts = {r["slice"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.int64) for r in rows}
-    empty = np.zeros(2 * BUCKETS // SLICES, dtype=np.int64)
-    return np.concatenate([parts.get(k, empty) for k in range(SLICES)]).reshape(2, BUCKETS)
+    empty = np.zeros(4 * BUCKETS // SLICES, dtype=np.int64)
+    return tuple(np.concatenate([parts.get(k, empty) for k in range(SLICES)]).reshape(2, 2, BUCKETS))
 
 
 def ratio(buckets: np.ndarray, trusted: np.ndarray, raw: np.ndarray, n_trusted: int, n_raw: int) -> tuple[float, float]:
@@ -158,36 +174,40 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
 
 
-def _verdicts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, BASE, SCORES, any more) with base_failed, ratio_1, ratio_2 and kept."""
-    flagged = rows.join(trusted.withColumn("is_trusted", F.lit(True)), "doc_id", "left")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    ratios = [F.when(F.col("is_trusted"), F.col(f"own_{k}")).otherwise(F.col(f"score_{k}")).alias(f"ratio_{k}") for k in (1, 2)]
-    judged = materialize(flagged.select("*", failed.alias("base_failed"), *ratios), "judged")
-    bins = judged.where("is_trusted AND NOT base_failed").select(F.posexplode(F.array("ratio_1", "ratio_2")).alias("order", "x"))
-    bins = bins.groupBy("order", F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("x"))) * STEPS).alias("bin")).count().collect()  # at most 40 * STEPS each
+def _passes(kind: str, least: list[float]) -> Column:
+    """Whether a row with BASE and SCORES passes, with its scores as ``score`` (another document) or ``own`` (a trusted one)."""
+    return ~_failed() & (F.col(f"{kind}_1") >= least[0]) & (F.col(f"{kind}_2") >= least[1])
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def _thresholds(rows: DataFrame, trusted: DataFrame) -> list[float]:
+    """The least score of each order: quantiles over the trusted documents of ``rows`` (doc_id, BASE, SCORES) that pass the base rules."""
+    own = rows.join(trusted, "doc_id", "left_semi").where(~_failed()).select(F.posexplode(F.array("own_1", "own_2")).alias("order", "x"))
+    cell = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("x"))) * STEPS)
+    bins = own.groupBy("order", cell.alias("bin")).count().collect()  # at most 40 * STEPS each
     least = []
     for order in (0, 1):
-        own = sorted((r["bin"], r["count"]) for r in bins if r["order"] == order)
-        need, upto = QUANTILE * sum(n for _, n in own), 0
-        for b, n in own:
+        counts = sorted((r["bin"], r["count"]) for r in bins if r["order"] == order)
+        need, upto = QUANTILE * sum(n for _, n in counts), 0
+        for b, n in counts:
             upto += n
             if upto >= need:
                 least.append(b / STEPS)
                 break
         else:
             least.append(float("-inf"))
-    good = ~F.col("base_failed") & (F.col("ratio_1") >= least[0]) & (F.col("ratio_2") >= least[1])
-    return judged.withColumn("kept", good)
+    return least
 
 
-def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a struct ``__cm_q`` of statistics, and the trusted ids."""
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[Column, DataFrame]:
+    """The struct of BASE and SCORES of column ``text``, and the trusted ids."""
     spark = ship(docs.sparkSession)
-    trusted = materialize(trusted_ids(labels), "trusted")
-    raw = ngram_counts(docs)
-    target = ngram_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
-    return docs.withColumn("__cm_q", scorer(spark, raw, target)("text")), trusted
+    trusted = bounded(trusted_ids(labels), MOST_TRUSTED, "trusted")
+    raw, target = ngram_counts(docs, trusted)
+    return scorer(spark, raw, target)("text"), trusted
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,18 +216,35 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts have no words and fail the base rules. Without trusted documents every ratio is zero and the base rules decide.
     Repeated rows are judged alike; a row with a null doc_id is never trusted. Other columns are not read.
     """
-    scored, trusted = _scored(docs.select("doc_id", "text"), labels)
-    rows = materialize(scored.select("doc_id", "__cm_q.*"), "scored")
-    return _verdicts(rows, trusted).select("doc_id", *BASE, "base_failed", "kept", "ratio_1", "ratio_2")
+    scores, trusted = _scored(docs, labels)
+    rows = materialize(docs.select("doc_id", scores.alias("q")).select("doc_id", "q.*"), "scored")
+    least = _thresholds(rows, trusted)
+    flagged = rows.join(trusted.withColumn("is_trusted", F.lit(True)), "doc_id", "left")
+    own = F.coalesce("is_trusted", F.lit(False))
+    ratios = [F.when(own, F.col(f"own_{k}")).otherwise(F.col(f"score_{k}")).alias(f"ratio_{k}") for k in (1, 2)]
+    kept = F.when(own, _passes("own", least)).otherwise(_passes("score", least))
+    return flagged.select("doc_id", *BASE, _failed().alias("base_failed"), kept.alias("kept"), *ratios)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    Texts are not shuffled for a verdict: most rows pass or fail whether they are trusted or not. Only where that decides is
+    the row looked up among the trusted ids.
+    """
+    (q,) = free_names(docs, "q")
+    scores, trusted = _scored(docs, labels)
+    rows = materialize(docs.withColumn(q, scores), "scored")
+    least = _thresholds(rows.select("doc_id", f"{q}.*"), trusted)
     columns = all_columns(docs)
-    scored, trusted = _scored(docs, labels)
-    rows = materialize(scored.withColumn("__cm_row", F.monotonically_increasing_id()), "scored")
-    kept = _verdicts(rows.select("doc_id", "__cm_row", "__cm_q.*"), trusted).where("kept").select("__cm_row")
-    return rows.join(kept, "__cm_row", "left_semi").select(*columns)
+    field = lambda name: F.col(f"{q}.{name}")
+    sound = (field("n_words") >= LEAST_WORDS) & (100 * field("n_repeat_words") <= MOST_REPEATED * field("n_words"))
+    other, own = (sound & (field(f"{kind}_1") >= least[0]) & (field(f"{kind}_2") >= least[1]) for kind in ("score", "own"))
+    sure = rows.where(other & own).select(*columns)
+    open_ = rows.where(other != own).withColumn(q, own)
+    as_trusted = open_.where(F.col(q)).join(trusted, "doc_id", "left_semi").select(*columns)
+    as_other = open_.where(~F.col(q)).join(trusted, "doc_id", "left_anti").select(*columns)
+    return sure.unionByName(as_trusted).unionByName(as_other)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
