@@ -1,11 +1,15 @@
 """Exact top-k inner products by Fagin's threshold algorithm over blocks of vectors.
 
 Vectors are dealt to blocks by a hash of the row, so that a repeated id fills no block, and queries by their id; each pair of blocks is one task, so a task's
-input is bounded and nothing is broadcast. In a block every dimension has a list of its vectors sorted by value. A
-query walks all lists at once, from the top where its own component is positive and from the bottom where it is negative;
-rows met for the first time are scored in full. The sum over dimensions of the query's component times the value last
-met bounds the score of every row not met yet: the walk stops when the k-th best score is above that bound (an equal score
-could still win by its smaller id) or no row is left. The best of all blocks are merged per query.
+input is bounded and nothing is broadcast. In a block every dimension has a list of its vectors sorted by value. A query walks a list
+from the top where its own component is positive and from the bottom where it is negative; rows that are met are scored in full. The sum over
+dimensions of what each list can still add bounds the score of every row not met yet: the walk stops when the k-th best score is
+above that bound (an equal score could still win by its smaller id) or no row is left.
+
+Lists are not walked alike: those go deeper whose next row can add most, which lowers the bound by the fewest steps. A short first walk gives a
+k-th score, and the k-th score of each query in the first block of rows is known to all others; from such a score follows how deep each list has to
+be walked. If that is as many steps as the block has rows, the block is scored whole in one product. How much is scored depends on the
+data: little if a few dimensions decide, all of it if all 64 dimensions matter alike.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from corpusmill.storage import materialize, table
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+MOST_AT_ONCE = 256  # queries whose scores against a whole block are made together
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -36,44 +41,108 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def threshold_topk(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (id, ids of its best rows, their scores); integers in and out. Rows with the query's id don't count."""
+class Lists:
+    """The sorted lists of a block's dimensions, and their values at some depths, for choosing how deep to walk."""
+
+    def __init__(self, rows: np.ndarray):
+        n = len(rows)
+        self.up = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
+        values = np.take_along_axis(rows.T, self.up, axis=1).astype(np.float64)
+        self.depths = np.unique(np.concatenate([np.arange(min(n, 16)), np.geomspace(1, n, 48).astype(int) - 1])) if n else np.zeros(0, int)
+        self.top, self.bottom = values[:, n - 1 - self.depths], values[:, self.depths]
+
+    def left(self, q: np.ndarray) -> np.ndarray:
+        """What each list (dimension) can still add to a score of ``q`` when it was walked to each depth; falling with the depth."""
+        q = q.astype(np.float64)[:, None]
+        return np.where(q > 0, q * self.top, q * self.bottom)
+
+    def met(self, q: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Which rows are met by walking each list so many steps."""
+        n = self.up.shape[1]
+        found = np.zeros(n, dtype=bool)
+        for d in np.flatnonzero(steps):
+            found[self.up[d, n - steps[d] :] if q[d] > 0 else self.up[d, : steps[d]]] = True
+        return found
+
+
+def _walk(left: np.ndarray, depths: np.ndarray, enough) -> np.ndarray | None:
+    """Steps in each list so that no list that was left can add more than a level: the highest level at which the bound is ``enough``; none if it never is."""
+    low, high, out = float(left.min(initial=0.0)) - 1, float(left.max(initial=0.0)), None
+    for _ in range(24):
+        level = (low + high) / 2
+        at = np.minimum((left > level).sum(axis=1), len(depths) - 1)
+        steps = depths[at]
+        if enough(float(left[np.arange(len(left)), at].sum())):
+            low, out = level, steps
+        else:
+            high = level
+    return out
+
+
+def threshold_topk(
+    rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K, floors: np.ndarray | None = None, scored: list | None = None
+) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (id, ids of its best rows, their scores); integers in and out. Rows with the query's id don't count.
+
+    ``floors`` are scores that ``k`` rows elsewhere have at least, or negative infinity: rows below may be left out. ``scored`` takes how many
+    rows were scored for each query.
+    """
     n, dims = rows.shape
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
     rows, queries = _exact(rows, most), _exact(queries, most)
-    up = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
-    down = np.ascontiguousarray(up[:, ::-1])
-    values = np.take_along_axis(rows.T, up, axis=1)
-    out = []
-    for q, own in zip(queries, query_ids):
-        plus, minus = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        met = ids == own
+    slack = most * 1e-12 if rows.dtype == np.int64 else 0.0  # bounds are sums of floats
+    lists = Lists(rows)
+    out: dict[int, tuple] = {}
+    whole = []
+    for i, (q, own) in enumerate(zip(queries, query_ids)):
+        left = lists.left(q)
+        floor = -np.inf if floors is None else float(floors[i])
         scores, best = np.zeros(0, rows.dtype), np.zeros(0, ids.dtype)
-        begin, end = 0, min(n, max(k, n // max(1, 2 * (len(plus) + len(minus)))))
-        while True:
-            before = met.copy()
-            met[down[plus, begin:end]] = True
-            met[up[minus, begin:end]] = True
-            if end == n:
-                met[:] = True  # also where no component decides
-            new = np.flatnonzero(met & ~before)
-            scores, best = _best(np.concatenate([scores, rows[new] @ q]), np.concatenate([best, ids[new]]), k)
-            bound = q[plus] @ values[plus, n - end] + q[minus] @ values[minus, end - 1]
-            if end == n or (len(scores) == k and scores[-1] > bound) or met.all():
-                break
-            begin, end = end, min(n, 2 * end)
-        out.append((own, best, scores))
-    return out
+        met = ids == own
+        if n > 8 * k and dims:
+            first = _shallow(left, lists.depths, 4 * k)
+            new = np.flatnonzero(lists.met(q, first) & ~met)
+            met[new] = True
+            scores, best = _best(rows[new] @ q, ids[new], k)
+            if len(scores) == k:
+                floor = max(floor, float(scores[-1]))
+        steps = _walk(left, lists.depths, lambda bound: bound + slack < floor) if n and dims and floor > -np.inf else None
+        if steps is None or int(steps.sum()) >= n:
+            whole.append(i)
+            continue
+        new = np.flatnonzero(lists.met(q, steps) & ~met)
+        out[i] = (own, *reversed(_best(np.concatenate([scores, rows[new] @ q]), np.concatenate([best, ids[new]]), k)))
+        if scored is not None:
+            scored.append(int(met.sum()) + len(new))
+    for begin in range(0, len(whole), MOST_AT_ONCE):
+        some = whole[begin : begin + MOST_AT_ONCE]
+        for i, scores in zip(some, queries[some] @ rows.T):
+            others = ids != query_ids[i]
+            out[i] = (query_ids[i], *reversed(_best(scores[others], ids[others], k)))
+            if scored is not None:
+                scored.append(n)
+    return [out[i] for i in range(len(queries))]
+
+
+def _shallow(left: np.ndarray, depths: np.ndarray, most: int) -> np.ndarray:
+    """Steps in each list, about ``most`` in all, in the lists that can add most."""
+    low, high = float(left.min()) - 1, float(left.max())
+    for _ in range(16):
+        level = (low + high) / 2
+        steps = depths[np.minimum((left > level).sum(axis=1), len(depths) - 1)]
+        low, high = (level, high) if int(steps.sum()) > most else (low, level)
+    return depths[np.minimum((left > high).sum(axis=1), len(depths) - 1)]
 
 
 def _integers(vectors: pd.Series) -> np.ndarray:
     return np.floor(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) * SCALE).astype(np.int64)
 
 
-def _block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+def _block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    found = threshold_topk(_integers(rows["v"]), rows["vec_id"].to_numpy(np.int64), _integers(queries["v"]), queries["vec_id"].to_numpy(np.int64))
+    floors = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
+    found = threshold_topk(_integers(rows["v"]), rows["vec_id"].to_numpy(np.int64), _integers(queries["v"]), queries["vec_id"].to_numpy(np.int64), k, floors)
     return pd.DataFrame(
         {
             "query_id": np.repeat([own for own, _, _ in found], [len(b) for _, b, _ in found]).astype(np.int64),
@@ -107,9 +176,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("d", "vec_id").agg(F.min("v").alias("v"))
     n_rows, n_asks = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
     row_blocks, ask_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asks // BLOCK_QUERIES))
-    left = asks.select("d", "vec_id", "v", _dealt("vec_id", ask_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    right = rows.select("d", "vec_id", "v", _dealt("salt", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb"))
-    found = left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInPandas(_block, OUT)
+    dealt = materialize(asks.select("d", "vec_id", "v", _dealt("vec_id", ask_blocks).alias("qb")), "asks")
+    every = lambda column, blocks: rows.select("d", "vec_id", "v", column.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb")).where(blocks)
+    pairs = lambda left, right: left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInPandas(lambda a, b: _block(a, b, k), OUT)
+    block = _dealt("salt", row_blocks)
+    unknown = dealt.withColumn("floor", F.lit(None).cast("double"))
+    found = pairs(unknown.withColumn("rb", F.lit(0)), every(block, F.col("rb") == 0))
+    if row_blocks > 1:
+        found = materialize(found, "first")
+        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.when(F.abs("floor") < 2.0**53, F.col("floor")).alias("floor"))
+        floored = dealt.join(kth, "vec_id", "left").select("d", "vec_id", "v", "qb", "floor", F.explode(F.sequence(F.lit(1), F.lit(row_blocks - 1))).alias("rb"))
+        found = found.unionByName(pairs(floored, every(block, F.col("rb") > 0)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -50,3 +50,34 @@ def test_rows_of_a_repeated_id_are_dealt_to_all_blocks(spark, monkeypatch):
     best = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(frame).where("query_id = 20").collect())
     scores = sorted(((-64 * 64 * (i % 5), 7 if i % 3 else i) for i in range(400)))[:20]
     assert [(i, s) for _, i, s in best] == [(i, -s) for s, i in scores]
+
+
+def test_scores_known_from_elsewhere_leave_out_only_lower_rows():
+    rng = np.random.default_rng(4)
+    rows, ids = np.floor(rng.normal(size=(900, 12)) / np.arange(1, 13) * 64).astype(np.int64), np.arange(900)
+    queries, k = rows[:30], 10
+    for raised in (0, 300, 10**6):
+        floors = np.array([float(brute(rows, ids, q, -1, k)[-1][1] + raised) for q in queries])
+        scored = []
+        for (_, got, scores), q, floor in zip(topk.threshold_topk(rows, ids, queries, np.full(30, -1), k, floors, scored), queries, floors):
+            want = [x for x in brute(rows, ids, q, -1, k) if x[1] >= floor]
+            assert [(i, int(s)) for i, s in zip(got, scores) if s >= floor] == want
+        assert len(scored) == 30 and (raised < 10**6 or sum(scored) < 30 * 200)
+
+
+def test_the_walk_stops_early_where_few_dimensions_decide():
+    rng = np.random.default_rng(5)
+    rows = np.floor(rng.normal(size=(4000, 16)) * 0.2 ** np.arange(16) * 640).astype(np.int64)
+    scored = []
+    for (_, got, scores), q in zip(topk.threshold_topk(rows, np.arange(4000), rows[:40], np.arange(40), 20, scored=scored), rows):
+        own = int(np.flatnonzero((rows[:40] == q).all(axis=1))[0])
+        assert list(zip(got.tolist(), map(int, scores))) == brute(rows, np.arange(4000), q, own, 20)
+    assert np.mean(scored) < 0.5 * 4000
+
+
+def test_more_than_the_usual_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    frame = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(120)], "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, k=40).where("query_id = 20").collect()
+    rows = np.array([[64 * (i % 7), 64 * (i % 3)] for i in range(120)])
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == brute(rows, np.arange(120), rows[20], 20, 40)
