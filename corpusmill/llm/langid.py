@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from corpusmill.session import ship
-from corpusmill.storage import all_columns, table
+from corpusmill.storage import all_columns, free_names, table
 
 BITS = 12
 DIMS = 1 << BITS
@@ -52,14 +52,14 @@ def has_letter(text: str) -> bool:
 
 
 def features(text: str) -> np.ndarray:
-    """A vector of length one for a text; zero if it has under three bytes."""
+    """A vector of length one for a text; zero if it has under three bytes. In half precision, for fitting and predicting alike."""
     counts = np.zeros(DIMS, dtype=np.int64)
     for start in range(0, len(text), _PIECE):
         piece = f" {text[start : start + _PIECE].lower()} ".encode("utf-8", "surrogatepass").translate(_SEPARATE)
         a = np.frombuffer(piece, dtype=np.uint8).astype(np.uint32)
         code = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
         counts += np.bincount((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=DIMS)
-    return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
+    return np.sqrt(counts / max(1, counts.sum())).astype(np.float16).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 40, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -207,8 +207,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """
     spark = ship(docs.sparkSession)
     columns = all_columns(docs)
+    (p,) = free_names(docs, "p")
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return docs.withColumn("__cm_lang", predictor(spark, model)("text")).where((F.col("__cm_lang.lang_pred") != UNKNOWN) & (F.col("__cm_lang.score") >= LEAST_SCORE)).select(*columns)
+    return docs.withColumn(p, predictor(spark, model)("text")).where((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.score") >= LEAST_SCORE)).select(*columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

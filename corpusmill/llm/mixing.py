@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.sharding import slot_hash
-from corpusmill.storage import all_columns, materialize, table
+from corpusmill.storage import all_columns, free_names, materialize, table
 
 BINS = 1 << 12
 LEAST_LOG, MOST_LOG = -22.0, 8.0  # of the logarithms of exponentials that the bins tell apart
@@ -117,9 +117,10 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     columns = all_columns(docs)
-    rows = materialize(docs.withColumn("__cm_row", F.monotonically_increasing_id()), "rows")
-    often = taken(_keyed(rows, F.col("__cm_row"))).where("taken > 0").select("__cm_row", (F.col("taken") / F.col("size")).cast("int").alias("__cm_often"))
-    return rows.join(often, "__cm_row").withColumn("__cm_copy", F.explode(F.sequence(F.lit(1), F.col("__cm_often")))).select(*columns)
+    row, often, copy = free_names(docs, "row", "often", "copy")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    times = taken(_keyed(rows, F.col(row))).where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(often))
+    return rows.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,15 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 _MARKS = (b".", b",", b";", b":", b"!", b"?")
+PROBES = ["The  Quick brown\tfox,", "naïve Café? ÉCOLE Straße; İstanbul", "a\nb  c\r\nd", "x1 2024-01-02 3.14! don't (yes) e.g.: §5", " lead and trail ", "日本語 テキスト 한글", "ab" * 40]
 
 
 class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, by a tokenizer whose tokens never span ASCII white space.
 
     Ids are looked up word by word, so each word is tokenized about once for each worker. A text with ``<|`` may hold
-    strings that stand for special tokens and goes to the tokenizer as a whole.
+    strings that stand for special tokens and goes to the tokenizer as a whole. So does every text if ``PROBES`` show that the tokenizer
+    isn't of that kind.
     """
 
     def __init__(self, path: str):
@@ -56,6 +58,8 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_word = True
+        self.by_word = list(self.ids(PROBES)) == [self._encode([t])[0] for t in PROBES]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -108,7 +112,7 @@ class WordTokenizer:
         size = 0
         for text in texts:
             raw = encoded(text)
-            lists.append(text if b"<|" in raw else list(word_blocks(raw)))
+            lists.append(list(word_blocks(raw)) if self.by_word and b"<|" not in raw else text or "")
             size += len(raw)
             if size > at_once:
                 yield from self._looked_up(lists)

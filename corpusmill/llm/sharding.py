@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.storage import all_columns, table
+from corpusmill.storage import all_columns, free_names, table
 
 SHARDS, SLOTS = 32, 4099  # SLOTS is prime and over 100 times SHARDS
 MOST_SLOTS = 1 << 20  # of a table that may be broadcast: under 16 MB
@@ -61,9 +61,10 @@ def place(rows: DataFrame, key: str, names: list[str], slots: int = SLOTS, into:
     """
     spark = rows.sparkSession
     keep = [c for c, name in zip(all_columns(rows), rows.columns) if name not in into]
-    slotted = rows.select(*keep, (slot_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), "key:") % slots).alias("__cm_slot"))
-    owners = lookup_table(spark, names, slots).select(F.col("slot").alias("__cm_slot"), F.col("shard").alias("__cm_shard"))
-    return slotted.join(F.broadcast(owners), "__cm_slot").select(*keep, F.col("__cm_slot").alias(into[0]), F.col("__cm_shard").alias(into[1]))
+    slot, shard = free_names(rows, "slot", "shard")
+    slotted = rows.select(*keep, (slot_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), "key:") % slots).alias(slot))
+    owners = lookup_table(spark, names, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    return slotted.join(F.broadcast(owners), slot).select(*keep, F.col(slot).alias(into[0]), F.col(shard).alias(into[1]))
 
 
 def write_sharded(rows: DataFrame, path: str, key: str, names: list[str], slots: int = SLOTS) -> None:

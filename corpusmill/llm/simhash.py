@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType
 from corpusmill.llm.graph import connected_components
 from corpusmill.llm.text import encoded, word_blocks
 from corpusmill.session import ship
-from corpusmill.storage import all_columns, discard, materialize, table
+from corpusmill.storage import all_columns, discard, free_names, materialize, table
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 MASKS = [sum(1 << i for i in range(64) if bin((1 + i % 7) & v).count("1") % 2) for v in range(1, 8)]
@@ -161,10 +161,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     columns = all_columns(docs)
-    rows = materialize(docs.withColumn("__cm_row", F.monotonically_increasing_id()).withColumn("__cm_fp", fingerprint("text")), "fingerprinted")
-    slim = rows.select(F.col("__cm_fp").alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__cm_row").alias("row")).alias("who"))
-    kept = component_of(slim, "who").select(F.col("component.row").alias("__cm_row")).distinct()
-    return rows.join(kept, "__cm_row", "left_semi").select(*columns)
+    row, fp = free_names(docs, "row", "fp")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, fingerprint("text")), "fingerprinted")
+    slim = rows.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("who"))
+    kept = component_of(slim, "who").select(F.col("component.row").alias(row)).distinct()
+    return rows.join(kept, row, "left_semi").select(*columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

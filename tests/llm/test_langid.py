@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from corpusmill.llm import langid
@@ -65,3 +66,43 @@ def test_each_document_is_fitted_with_its_own_label(spark, monkeypatch):
     langid.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string"))
     for x, lang in zip(seen["x"], seen["langs"]):
         assert abs(x - langid.features(texts[lang])).max() < 0.001
+
+
+def test_votes_match_brute_force():
+    """Every machine's margin is computed on its own, one multiplication after another, and votes are counted by hand."""
+    import numpy as np
+
+    texts = {"en": "the house of the river and the people", "de": "das haus und der fluss und die leute", "nl": "het huis en de rivier en de mensen van", "es": "la casa y el rio de la gente", "fr": "la maison et la riviere des gens"}
+    rows = [(lang, f"{t} {t[::2]} {k}" + " x" * (k % 3)) for lang, t in texts.items() for k in range(20)]
+    x = np.stack([langid.features(t) for _, t in rows])
+    assert np.array_equal(x, x.astype(np.float16).astype(np.float32))  # fitted and predicted in one precision
+    langs = np.array([lang for lang, _ in rows], dtype=object)
+    model = langid.Model(x, langs)
+
+    def stated_vote(vote, v):
+        if len(vote.classes) == 1:
+            return vote.classes[0], 1.0
+        margins = {}
+        for (a, b), w, scale in zip(vote.pairs, vote.weights, vote.scales):
+            margins[a, b] = scale * (sum(float(p) * float(q) for p, q in zip(w, v)) + w[-1])
+        votes = [sum(m >= 0 if a == k else m < 0 for (a, b), m in margins.items() if k in (a, b)) for k in range(len(vote.classes))]
+        sums = [sum(m if a == k else -m for (a, b), m in margins.items() if k in (a, b)) for k in range(len(vote.classes))]
+        best = sorted(range(len(votes)), key=lambda k: (-votes[k], -sums[k], k))[0]
+        worst = min(m if a == best else -m for (a, b), m in margins.items() if best in (a, b))
+        return vote.classes[best], 1 / (1 + math.exp(-worst))
+
+    assert model.families.classes == ["germanic", "romance"] and model.within["germanic"].classes == ["de", "en", "nl"]
+    for _, text in rows[::7] + [("", "der and la casa"), ("", "people leute"), ("", "xyz")]:
+        v = langid.features(text)
+        family, sure = stated_vote(model.families, v)
+        lang, also = stated_vote(model.within[family], v)
+        logs, least = model.likeness[lang]
+        known = sum(float(p) * float(q) ** 2 for p, q in zip(logs, v)) >= least
+        got, score = model(text)
+        assert got == lang and abs(score - sure * also * (1 if known else langid.LEAST_SCORE / 2)) < 1e-6
+
+
+def test_null_ids_are_hashed_with_the_rest(spark):
+    docs = odd_documents(spark).selectExpr("*", "'a' AS p", "'b' AS p_")
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns and all((r.p, r.p_) == ("a", "b") for r in kept.collect())

@@ -55,3 +55,9 @@ def test_odd_documents(spark):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert mixed.where("text IS NULL").count() == 0
+
+
+def test_columns_with_any_name_stay_as_they_are(spark):
+    docs = odd_documents(spark).selectExpr("*", "'a' AS row", "'b' AS often", "'c' AS copy", "'d' AS __cm_row", "'e' AS weight")
+    rows = mixing.mixed_documents(docs)
+    assert rows.columns == docs.columns and all((r["row"], r.often, r.copy, r.weight) == ("a", "b", "c", "e") for r in rows.collect())

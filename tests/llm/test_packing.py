@@ -71,3 +71,28 @@ def test_little_padding(spark):
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), packing.default_tokenizer()).collect()
     used = sum(p.length for p in pieces)
     assert used >= 0.97 * 2048 * len({p.sequence_id for p in pieces})
+
+
+class Odd:
+    """A tokenizer for which words aren't apart: the ids depend on what stands before."""
+
+    def get_vocab(self):
+        return {"a</w>": 0, "b": 1000}
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        assert add_special_tokens is False
+        return [type("E", (), {"ids": [(i + ord(c)) % 1000 for i, c in enumerate(t)]}) for t in texts]
+
+
+def test_another_kind_of_tokenizer_gets_whole_texts(monkeypatch):
+    import tokenizers
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: Odd())}))
+    words = packing.WordTokenizer("x")
+    assert not words.by_word
+    texts = ["one two", None, "", "a\tb <| c"]
+    assert list(words.ids(texts)) == [struct.pack(f"<{len(t or '')}I", *((i + ord(c)) % 1000 for i, c in enumerate(t or ""))) for t in texts]
+
+
+def test_the_given_tokenizer_is_looked_up_by_word():
+    assert packing.WordTokenizer(packing.default_tokenizer()).by_word

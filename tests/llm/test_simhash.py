@@ -96,3 +96,9 @@ def test_keep_one_keeps_all_columns_and_one_row_of_each_group(spark):
 def test_long_text_is_read_whole():
     text = prose(300_000, 9)
     assert simhash.fingerprints([text])[0] == stated(text)
+
+
+def test_columns_with_any_name_stay_as_they_are(spark):
+    docs = odd_documents(spark).selectExpr("*", "'a' AS row", "'b' AS fp_", "'c' AS __cm_row")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and all((r["row"], r.fp_, r["__cm_row"], r.fp) == ("a", "b", "c", "fp") for r in kept.collect())
