@@ -24,6 +24,7 @@ from corpusmill.storage import materialize, table
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+WALKED_AT_ONCE = 64  # queries whose depths are chosen together
 MOST_AT_ONCE = 256  # queries whose scores against a whole block are made together
 OUT = "query_id long, vec_id long, score long"
 
@@ -51,9 +52,9 @@ class Lists:
         self.depths = np.unique(np.concatenate([np.arange(min(n, 16)), np.geomspace(1, n, 48).astype(int) - 1])) if n else np.zeros(0, int)
         self.top, self.bottom = values[:, n - 1 - self.depths], values[:, self.depths]
 
-    def left(self, q: np.ndarray) -> np.ndarray:
-        """What each list (dimension) can still add to a score of ``q`` when it was walked to each depth; falling with the depth."""
-        q = q.astype(np.float64)[:, None]
+    def left(self, queries: np.ndarray) -> np.ndarray:
+        """(query, list, depth): what a list (dimension) can still add to a score when it was walked to a depth; falling with the depth."""
+        q = queries.astype(np.float64)[:, :, None]
         return np.where(q > 0, q * self.top, q * self.bottom)
 
     def met(self, q: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -65,18 +66,21 @@ class Lists:
         return found
 
 
-def _walk(left: np.ndarray, depths: np.ndarray, enough) -> np.ndarray | None:
-    """Steps in each list so that no list that was left can add more than a level: the highest level at which the bound is ``enough``; none if it never is."""
-    low, high, out = float(left.min(initial=0.0)) - 1, float(left.max(initial=0.0)), None
-    for _ in range(24):
+def _walk(left: np.ndarray, depths: np.ndarray, enough) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the steps (query, list) after which no list that was left can add more than a level, and whether there is such a level.
+
+    It is the highest level at which ``enough`` (bounds, steps in all) holds for the query.
+    """
+    low, high = left.min(axis=(1, 2)) - 1, left.max(axis=(1, 2)) + 1
+    steps, found = np.zeros(left.shape[:2], dtype=np.int64), np.zeros(len(left), dtype=bool)
+    for _ in range(20):
         level = (low + high) / 2
-        at = np.minimum((left > level).sum(axis=1), len(depths) - 1)
-        steps = depths[at]
-        if enough(float(left[np.arange(len(left)), at].sum())):
-            low, out = level, steps
-        else:
-            high = level
-    return out
+        at = np.minimum((left > level[:, None, None]).sum(axis=2), len(depths) - 1)
+        good = enough(np.take_along_axis(left, at[:, :, None], axis=2).sum(axis=(1, 2)), depths[at].sum(axis=1))
+        steps[good] = depths[at[good]]
+        found |= good
+        low, high = np.where(good, level, low), np.where(good, high, level)
+    return steps, found
 
 
 def threshold_topk(
@@ -94,26 +98,34 @@ def threshold_topk(
     lists = Lists(rows)
     out: dict[int, tuple] = {}
     whole = []
-    for i, (q, own) in enumerate(zip(queries, query_ids)):
-        left = lists.left(q)
-        floor = -np.inf if floors is None else float(floors[i])
-        scores, best = np.zeros(0, rows.dtype), np.zeros(0, ids.dtype)
-        met = ids == own
-        if n > 8 * k and dims:
-            first = _shallow(left, lists.depths, 4 * k)
-            new = np.flatnonzero(lists.met(q, first) & ~met)
-            met[new] = True
-            scores, best = _best(rows[new] @ q, ids[new], k)
-            if len(scores) == k:
-                floor = max(floor, float(scores[-1]))
-        steps = _walk(left, lists.depths, lambda bound: bound + slack < floor) if n and dims and floor > -np.inf else None
-        if steps is None or int(steps.sum()) >= n:
-            whole.append(i)
+    for begin in range(0, len(queries), WALKED_AT_ONCE):
+        at = range(begin, min(len(queries), begin + WALKED_AT_ONCE))
+        if n <= 8 * k or not dims:
+            whole += at
             continue
-        new = np.flatnonzero(lists.met(q, steps) & ~met)
-        out[i] = (own, *reversed(_best(np.concatenate([scores, rows[new] @ q]), np.concatenate([best, ids[new]]), k)))
-        if scored is not None:
-            scored.append(int(met.sum()) + len(new))
+        left = lists.left(queries[begin : begin + WALKED_AT_ONCE])
+        known = np.full(len(at), -np.inf) if floors is None else np.asarray(floors[begin : begin + WALKED_AT_ONCE], dtype=np.float64)
+        seen = {}
+        if np.isneginf(known).any():
+            shallow, _ = _walk(left, lists.depths, lambda bounds, total: total >= 4 * k)
+            for j in np.flatnonzero(np.isneginf(known)):
+                new = np.flatnonzero(lists.met(queries[begin + j], shallow[j]) & (ids != query_ids[begin + j]))
+                scores, best = _best(rows[new] @ queries[begin + j], ids[new], k)
+                seen[j] = (new, scores, best)
+                known[j] = scores[-1] if len(scores) == k else -np.inf
+        steps, found = _walk(left, lists.depths, lambda bounds, total: bounds + slack < known)
+        for j, i in enumerate(at):
+            if not found[j] or steps[j].sum() >= n:
+                whole.append(i)
+                continue
+            q, own = queries[i], query_ids[i]
+            before, scores, best = seen.get(j, (np.zeros(0, int), np.zeros(0, rows.dtype), np.zeros(0, ids.dtype)))
+            met = lists.met(q, steps[j]) & (ids != own)
+            met[before] = False
+            new = np.flatnonzero(met)
+            out[i] = (own, *reversed(_best(np.concatenate([scores, rows[new] @ q]), np.concatenate([best, ids[new]]), k)))
+            if scored is not None:
+                scored.append(len(before) + len(new))
     for begin in range(0, len(whole), MOST_AT_ONCE):
         some = whole[begin : begin + MOST_AT_ONCE]
         for i, scores in zip(some, queries[some] @ rows.T):
@@ -124,16 +136,6 @@ def threshold_topk(
     return [out[i] for i in range(len(queries))]
 
 
-def _shallow(left: np.ndarray, depths: np.ndarray, most: int) -> np.ndarray:
-    """Steps in each list, about ``most`` in all, in the lists that can add most."""
-    low, high = float(left.min()) - 1, float(left.max())
-    for _ in range(16):
-        level = (low + high) / 2
-        steps = depths[np.minimum((left > level).sum(axis=1), len(depths) - 1)]
-        low, high = (level, high) if int(steps.sum()) > most else (low, level)
-    return depths[np.minimum((left > high).sum(axis=1), len(depths) - 1)]
-
-
 def _integers(vectors: pd.Series) -> np.ndarray:
     return np.floor(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) * SCALE).astype(np.int64)
 
