@@ -113,15 +113,13 @@ def _composed(texts: pd.Series) -> pd.Series:
 def unaccented(text: Column) -> Column:
     """Compatibility decomposition (NFKD) of any script without combining marks."""
     chars, forms, more = _folding("NFKD", False)
-    odd = _is_odd(text, more)
-    return F.when(odd, _decomposed(F.when(odd, text))).otherwise(F.translate(text, chars, forms))
+    return F.coalesce(_decomposed(F.when(_is_odd(text, more), text)), F.translate(text, chars, forms))
 
 
 def compatible(text: Column) -> Column:
     """Compatibility composition (NFKC)."""
     chars, forms, more = _folding("NFKC", True)
-    odd = _is_odd(text, more)
-    return F.when(odd, _composed(F.when(odd, text))).otherwise(F.translate(text, chars, forms))
+    return F.coalesce(_composed(F.when(_is_odd(text, more), text)), F.translate(text, chars, forms))
 
 
 def slug(text: Column) -> Column:
