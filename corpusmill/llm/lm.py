@@ -10,7 +10,12 @@ Counts are exact over all training documents and are never gathered in one place
 ``BLOCK_TOKENS`` tokens. A block sends its distinct words and bigrams with their counts to buckets of the key space, as
 arrays; a bucket adds them up and answers every block with totals in the order of the question. Words are counted by their
 bytes, bigrams by hashes with ``SPARE_BITS`` bits more than the number of tokens needs, and 64 at most, so that about one
-bigram in a million shares its hash. A word or bigram of any frequency is one entry in each block, so no key is hot.
+bigram in a million shares its hash.
+
+No bucket hears more than about ``FAN`` senders. Beyond ``FAN`` blocks the counts meet in levels: groups of ``FAN`` blocks
+add theirs up in ranges of the key space, each range of a group is a sender to the finer buckets in it, and totals come back
+the same way. So a block sends at most ``FAN`` rows whatever the size of the corpus, and the most frequent word is at most
+``FAN`` entries in one bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 21  # training and test tokens for each bucket of the key space
 SPARE_BITS = 20
+FAN = 1 << 14  # senders that one bucket hears, and buckets that one sender sends to
+TASK_BUCKETS = 8  # buckets, or blocks, for each shuffle partition at most
 STEPS, REACH = 4, 200  # of the histogram: steps in an octave, and the most steps to either side
 MOST_CONTEXT = 24  # contexts seen 2**24 times or more share a bucket
 EM_ROUNDS = 100
@@ -47,6 +54,7 @@ _KINDS = ["u1", "<u2", "<u4", "<u8"]
 BLOCK = "block long, tokens long, doc_ids array<long>, parts binary, lengths binary, words binary, ids binary"
 SENT = "bucket long, block long, words binary, word_counts binary, keys binary, key_counts binary"
 ANSWER = "bucket long, block long, word_counts binary, key_counts binary, train_words long"
+KEY_COLUMNS = ["words", "word_counts", "keys", "key_counts"]
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -96,6 +104,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[dict]:
         yield block()
 
 
+def cuts(word_keys: np.ndarray, keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
+    """For each bucket with some of these sorted words or bigrams: its number, which they are, and the bigrams' keys from its begin."""
+    w, k = (((x >> np.uint64(n - 32)) * np.uint64(buckets)) >> np.uint64(32) for x, n in ((word_keys, 64), (keys, bits)))
+    some = np.union1d(w, k)
+    ends = [np.searchsorted(x, some, side).tolist() for x in (w, k) for side in ("left", "right")]
+    for i, w0, w1, k0, k1 in zip(some.tolist(), *ends):
+        yield i, slice(w0, w1), slice(k0, k1), keys[k0:k1] - _begin(i, buckets, bits)
+
+
+def _begin(bucket: int, buckets: int, bits: int) -> np.uint64:
+    return np.uint64(((bucket << 32) // buckets) << (bits - 32))
+
+
+def _row(words: list[bytes], word_counts: np.ndarray, keys: np.ndarray, key_counts: np.ndarray) -> tuple:
+    """The last four columns of SENT. Counts have a row for each part."""
+    return zstandard.compress(b"\n".join([b"", *words]), 1), packed(word_counts.ravel()), packed(np.diff(keys, prepend=np.uint64(0))), packed(key_counts.ravel())
+
+
 class Block:
     """A block's tokens, words and bigrams. Words and bigrams are in the order of their keys."""
 
@@ -128,12 +154,7 @@ class Block:
         return np.bincount(self.ids[own], minlength=len(self.words))[self.word_order], np.bincount(self.bigrams[own], minlength=len(self.keys))[self.key_order]
 
     def cuts(self, buckets: int) -> Iterator[tuple[int, slice, slice, np.ndarray]]:
-        """For each bucket with words or bigrams of this block: its number, which they are, and the bigrams' keys from its begin."""
-        w, k = (((x >> np.uint64(n - 32)) * np.uint64(buckets)) >> np.uint64(32) for x, n in ((self.word_keys, 64), (self.keys, self.bits)))
-        some = np.union1d(w, k)
-        ends = [np.searchsorted(x, some, side).tolist() for x in (w, k) for side in ("left", "right")]
-        for i, w0, w1, k0, k1 in zip(some.tolist(), *ends):
-            yield i, slice(w0, w1), slice(k0, k1), self.keys[k0:k1] - np.uint64(((i << 32) // buckets) << (self.bits - 32))
+        return cuts(self.word_keys, self.keys, self.bits, buckets)
 
     def totals(self, answers: Iterable[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Totals (part, word) and (part, bigram) in local order, from the buckets' answers in order."""
@@ -150,39 +171,94 @@ def _sent(blocks: pd.DataFrame, buckets: int, bits: int) -> Iterator[tuple]:
     """Rows of SENT: what each block sends to the buckets in which it has words or bigrams."""
     for row in blocks.itertuples(index=False):
         b = Block(row.parts, row.lengths, row.words, row.ids, bits)
-        (wa, ka), (wb, kb) = b.counts(1), b.counts(2)
+        word_counts, key_counts = (np.stack(x) for x in zip(b.counts(1), b.counts(2)))
         words = [b.words[i] for i in b.word_order]
         for i, w, k, keys in b.cuts(buckets):
-            gaps = np.diff(keys, prepend=np.uint64(0))
-            yield i, row.block, zstandard.compress(b"\n".join([b"", *words[w]]), 1), packed(np.concatenate([wa[w], wb[w]])), packed(gaps), packed(np.concatenate([ka[k], kb[k]]))
+            yield i, row.block, *_row(words[w], word_counts[:, w], keys, key_counts[:, k])
+
+
+class Bucket:
+    """What some senders sent to one bucket, added up. Words are in the order of their hashes, bigrams in that of their keys."""
+
+    def __init__(self, rows: pd.DataFrame):
+        index: dict[bytes, int] = {}
+        words = [np.fromiter((index.setdefault(w, len(index)) for w in zstandard.decompress(x).split(b"\n")[1:]), dtype=np.int64) for x in rows["words"]]
+        names = sorted(index)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), dtype=np.uint64, count=len(names))
+        order = np.argsort(hashes, kind="stable")
+        self.word_keys, self.words = hashes[order], [names[i] for i in order]
+        place = np.empty(len(names), dtype=np.int64)
+        place[[index[w] for w in self.words]] = np.arange(len(names))
+        keys = [np.cumsum(unpacked(x)) for x in rows["keys"]]
+        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.word_at = [place[x] for x in words]
+        self.key_at = np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+        self.word_sums = self._added(rows["word_counts"], np.concatenate(self.word_at), len(names))
+        self.key_sums = self._added(rows["key_counts"], at, len(self.keys))
+
+    @staticmethod
+    def _added(raw: Iterable[bytes], at: np.ndarray, size: int) -> np.ndarray:
+        each = np.concatenate([unpacked(x).reshape(2, -1) for x in raw], axis=1)
+        return np.stack([np.bincount(at, weights=n, minlength=size).astype(np.int64) for n in each])
+
+    def answers(self, rows: pd.DataFrame, words: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        """Rows of ANSWER to the senders of ``rows`` from totals (part, word) and (part, bigram)."""
+        out = rows[["bucket", "block"]].reset_index(drop=True)
+        out["word_counts"] = [packed(words[:, x].ravel()) for x in self.word_at]
+        out["key_counts"] = [packed(keys[:, x].ravel()) for x in self.key_at]
+        return out.assign(train_words=0)
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals over all blocks for one bucket, and how many of its words are in training."""
-    totals: tuple[Counter, Counter] = (Counter(), Counter())
-    asked = [zstandard.decompress(x).split(b"\n")[1:] for x in rows["words"]]
-    for words, raw in zip(asked, rows["word_counts"]):
-        for total, counts in zip(totals, unpacked(raw).reshape(2, -1)):
-            for i in np.flatnonzero(counts).tolist():
-                total[words[i]] += int(counts[i])
-    keys = [np.cumsum(unpacked(x)) for x in rows["keys"]]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    each = [unpacked(x).reshape(2, -1) for x in rows["key_counts"]]
-    sums = [np.bincount(at, weights=np.concatenate([x[p] for x in each]), minlength=len(distinct)).astype(np.int64) for p in (0, 1)]
-    found, begin = [], 0
-    for words, own in zip(asked, keys):
-        here = at[begin : begin + len(own)]
-        begin += len(own)
-        word_totals = np.array([[t.get(w, 0) for w in words] for t in totals], dtype=np.int64)
-        found.append((packed(word_totals.ravel()), packed(np.concatenate([s[here] for s in sums]))))
-    out = pd.DataFrame(found, columns=["word_counts", "key_counts"])
-    out.insert(0, "bucket", rows["bucket"].to_numpy())
-    out.insert(1, "block", rows["block"].to_numpy())
-    out["train_words"] = 0
-    out.loc[0, "train_words"] = len(totals[0].keys() | totals[1].keys())
+    """Totals over all senders for one bucket, and how many of its words are in training."""
+    b = Bucket(rows)
+    out = b.answers(rows, b.word_sums, b.key_sums)
+    out.loc[0, "train_words"] = int((b.word_sums.sum(axis=0) > 0).sum())
     return out
 
 
+def _merged(rows: pd.DataFrame, buckets: int, share: int, bits: int) -> pd.DataFrame:
+    """Rows of SENT from a group of senders, added up, to the ``share`` finer buckets in one of ``buckets``."""
+    b, found = Bucket(rows), []
+    keys = b.keys.astype(np.uint64) + _begin(int(rows["bucket"].iloc[0]), buckets, bits)
+    for i, w, k, own in cuts(b.word_keys, keys, bits, buckets * share):
+        found.append((i, rows["group"].iloc[0], *_row(b.words[w], b.word_sums[:, w], own, b.key_sums[:, k])))
+    return pd.DataFrame(found, columns=["bucket", "block", *KEY_COLUMNS])
+
+
+def _shared(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """Rows of ANSWER to the senders of a group from the totals that the group was told by the finer buckets."""
+    b, totals = Bucket(rows), totals.sort_values("bucket")
+    return b.answers(rows, *(np.concatenate([unpacked(x).reshape(2, -1) for x in totals[c]], axis=1) for c in ("word_counts", "key_counts")))
+
+
+def _dealt(df: DataFrame, units: int, *by: str) -> DataFrame:
+    """``df`` by columns in as many partitions as ``units`` need, where Spark's setting has fewer."""
+    need = -(-units // TASK_BUCKETS)
+    return df.repartition(need, *by) if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _gathered(sent: DataFrame, senders: int, buckets: int, bits: int) -> tuple[DataFrame, int]:
+    """ANSWER for all rows of SENT, written, and the number of distinct words in training.
+
+    A bucket hears at most ``senders`` senders.
+    """
+    if senders <= FAN:
+        answers = materialize(_dealt(sent, buckets, "bucket").groupBy("bucket").applyInPandas(_answer, ANSWER), "answers")
+        return answers, answers.agg(F.sum("train_words")).first()[0] or 0
+    groups = -(-senders // FAN)
+    share = min(FAN, groups)
+    wide = sent.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    wide = _dealt(wide, buckets * groups, "bucket", "group").groupBy("bucket", "group")
+    units = materialize(wide.applyInPandas(lambda rows: _merged(rows, buckets, share, bits), SENT), "units")
+    told, distinct = _gathered(units, groups, buckets * share, bits)
+    back = told.withColumn("coarse", F.floor(F.col("bucket") / share).cast("long"))
+    back = _dealt(back, buckets * groups, "coarse", "block").groupBy("coarse", "block")
+    answers = materialize(wide.cogroup(back).applyInPandas(_shared, ANSWER), "answers")
+    discard(units, told)
+    return answers, distinct
+
+
 def context_bucket(counts: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, and one more for each power of two."""
     return np.minimum(MOST_CONTEXT, np.ceil(np.log2(counts + 1.0))).astype(np.int64)
@@ -300,15 +376,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds)], list(row))
 
     blocks = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), part.alias("part")).mapInArrow(cut, BLOCK), "blocks")
-    everything = blocks.agg(F.sum("tokens")).first()[0] or 0
-    buckets, bits = max(1, -(-everything // BUCKET_TOKENS)), min(64, max(32, SPARE_BITS + everything.bit_length()))
+    everything, n_blocks = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    bits = min(64, max(32, SPARE_BITS + everything.bit_length()))
+    buckets = max(1, -(-min(everything, FAN * BLOCK_TOKENS) // BUCKET_TOKENS))
     sent = blocks.select("block", "parts", "lengths", "words", "ids").mapInPandas(_frames(lambda f: _sent(f, buckets, bits), [x.split()[0] for x in SENT.split(", ")]), SENT)
-    answers = materialize(sent.groupBy("bucket").applyInPandas(_answer, ANSWER), "answers")
+    answers, distinct = _gathered(sent, n_blocks, buckets, bits)
     parts = blocks.select("parts", "lengths").mapInPandas(_frames(_part_sums, ["part", "tokens", "docs"]), "part int, tokens long, docs long").groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()
     size = {r["part"]: (r["tokens"], r["docs"]) for r in parts}
-    sums = {"bits": bits, "distinct": answers.agg(F.sum("train_words")).first()[0] or 0, "tokens": [size.get(p, (0, 0))[0] for p in (1, 2)], "starts": [size.get(p, (0, 0))[1] for p in (1, 2)]}
-    of_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "word_counts", "key_counts"))).alias("a"))
-    joined = blocks.drop("tokens").join(of_block, "block").withColumn("answers", F.transform("a", lambda x: F.struct(x["word_counts"], x["key_counts"]))).drop("a")
+    sums = {"bits": bits, "distinct": distinct, "tokens": [size.get(p, (0, 0))[0] for p in (1, 2)], "starts": [size.get(p, (0, 0))[1] for p in (1, 2)]}
+    of_block = _dealt(answers, n_blocks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "word_counts", "key_counts"))).alias("a"))
+    joined = _dealt(blocks.drop("tokens"), n_blocks, "block").join(of_block, "block").withColumn("answers", F.transform("a", lambda x: F.struct(x["word_counts"], x["key_counts"]))).drop("a")
     answered = materialize(joined, "answered")
     discard(blocks, answers)
     histogram = answered.drop("doc_ids").mapInPandas(_frames(lambda f: _histogram(_tuples(f), sums), ["code", "tokens"]), "code long, tokens long")

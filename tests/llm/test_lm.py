@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusmill.llm import lm
 from corpusmill.storage import table
@@ -79,6 +80,27 @@ def test_small_documents_match_plain_counting(spark, monkeypatch):
     check(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, tokens string, part int"), rows)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_counts_in_several_levels_match_plain_counting(spark, monkeypatch, fan):
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 30)
+    rows = [(i, "the " * (i % 4) + " ".join("abcdefghijkl"[(i * i * 3 + k * (i % 5 + 1)) % 12] for k in range(i % 13))) for i in range(80)] + [(None, "the b c"), (None, None)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows)
+
+
+def test_finer_buckets_lie_in_coarse_ones():
+    rng = np.random.default_rng(1)
+    words, keys = (np.sort(rng.integers(0, 2**n, 500, dtype=np.uint64)) for n in (64, 45))
+    for buckets, share in ((1, 7), (5, 3), (12, 16)):
+        fine = list(lm.cuts(words, keys, 45, buckets * share))
+        for i, w, k, own in lm.cuts(words, keys, 45, buckets):
+            inside = [x for x in fine if x[0] // share == i]
+            assert (inside[0][1].start, inside[-1][1].stop, inside[0][2].start, inside[-1][2].stop) == (w.start, w.stop, k.start, k.stop)
+            assert (own + lm._begin(i, buckets, 45) == keys[k]).all()
+        assert sum(len(x[3]) for x in fine) == len(keys)
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     check(docs, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
