@@ -83,7 +83,7 @@ def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...]
     return out
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, by: str | Column, name: str) -> DataFrame:
     """``df`` with its rows numbered from 1 in the order of ``by`` in column ``name``, without a sort in one task.
 
     Rows are dealt to ranges and written; a row's number is its place in its range after the sizes of the ranges before, of which there are few.
