@@ -6,6 +6,10 @@ that the output can be read back whole.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so no control string can come from a text, and reading reverses it exactly.
+
+The context of an example is all that stands before it, so a conversation is formatted once, as a piece for each turn, and an
+example is the pieces up to its own with the place of its loss mask (``format_pieces``): rows and characters grow with the
+conversation. ``format_examples`` writes each example out whole, which grows with the square of the turns.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 EXAMPLES = "conv_id long, example long, formatted string, loss_start long, loss_end long, is_last boolean"
+PIECES = "conv_id long, example long, piece string, start long, loss_start long, loss_end long, is_last boolean"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -55,24 +60,45 @@ def unescape_role(role: str) -> str:
     return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def expand(conv_id: int | None, turns: Iterable[tuple[str, str]]) -> Iterator[Example]:
-    """The examples of one conversation's (role, text) in order; one is held back to know the last."""
-    prefix, n, held, tail = "", 0, None, False
+class Piece(NamedTuple):
+    conv_id: int | None
+    example: int | None  # that the piece ends; none if it is context only
+    piece: str
+    start: int  # of the piece in the conversation, as are those of the loss
+    loss_start: int
+    loss_end: int
+    is_last: bool
+
+
+def pieces(conv_id: int | None, turns: Iterable[tuple[str, str]]) -> Iterator[Piece]:
+    """The formatted turns of one conversation's (role, text) in order; one is held back to know the last, which ends an example always."""
+    held, at, n = None, 0, 0
     for role, text in turns:
-        start = len(prefix) + len(head := f"{START}{escape_role(role)}\n")
-        end = start + len(body := escape(text))
-        prefix = f"{prefix}{head}{body}{END}\n"
-        tail = role != TARGET
-        if not tail:
-            if held:
-                yield held
-            held, n = Example(conv_id, n, prefix, start, end, False), n + 1
-    if tail:
         if held:
             yield held
-        held = Example(conv_id, n, prefix, len(prefix), len(prefix), False)
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        start, piece = at + len(head), f"{head}{body}{END}\n"
+        if role == TARGET:
+            held, n = Piece(conv_id, n, piece, at, start, start + len(body), False), n + 1
+        else:
+            held = Piece(conv_id, None, piece, at, at + len(piece), at + len(piece), False)
+        at += len(piece)
     if held:
-        yield held._replace(is_last=True)
+        yield held._replace(is_last=True, example=n if held.example is None else held.example)
+
+
+def whole(parts: Iterable[Piece]) -> Iterator[Example]:
+    """The examples of one conversation's pieces, each with all of its context."""
+    prefix = ""
+    for p in parts:
+        prefix += p.piece
+        if p.example is not None:
+            yield Example(p.conv_id, p.example, prefix, p.loss_start, p.loss_end, p.is_last)
+
+
+def expand(conv_id: int | None, turns: Iterable[tuple[str, str]]) -> Iterator[Example]:
+    """The examples of one conversation's (role, text) in order."""
+    return whole(pieces(conv_id, turns))
 
 
 def read_back(formatted: str) -> Iterator[tuple[str, str]]:
@@ -85,19 +111,19 @@ def read_back(formatted: str) -> Iterator[tuple[str, str]]:
         at = end + len(END) + 1
 
 
-def digests(examples: Iterable[Example]) -> Iterator[tuple]:
-    """A row of DIGEST for each run of examples of one conversation, from the formatted output alone."""
-    for conv_id, own in groupby(examples, key=lambda e: e.conv_id):
+def digests(parts: Iterable[Piece]) -> Iterator[tuple]:
+    """A row of DIGEST for each run of pieces of one conversation, from the formatted output alone."""
+    for conv_id, own in groupby(parts, key=lambda p: p.conv_id):
         turns, loss, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-        for e in own:
-            reply = unescape(e.formatted[e.loss_start : e.loss_end])
-            loss.update(reply.encode("utf-8", "surrogatepass"))
-            loss_chars += len(reply)
-            chars += len(e.formatted)
-            if e.is_last:
-                for role, text in read_back(e.formatted):
-                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    n_turns += 1
+        for p in own:
+            for role, text in read_back(p.piece):
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                n_turns += 1
+            if p.example is not None:
+                reply = unescape(p.piece[p.loss_start - p.start : p.loss_end - p.start])
+                loss.update(reply.encode("utf-8", "surrogatepass"))
+                loss_chars += len(reply)
+                chars += p.start + len(p.piece)  # of the example: all up to here
         yield conv_id, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
 
@@ -108,11 +134,11 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
-def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[Example]:
-    """Rows stream through: of a conversation only its formatted prefix is kept."""
+def _conversations(frames: Iterator[pd.DataFrame], make=pieces) -> Iterator:
+    """What ``make`` makes of each conversation. Rows stream through."""
     rows = ((None if pd.isna(c) else int(c), r, t) for f in frames for c, r, t in zip(f["conv_id"], f["role"], f["text"]))
     for conv_id, own in groupby(rows, key=lambda row: row[0]):
-        yield from expand(conv_id, ((r, t) for _, r, t in own))
+        yield from make(conv_id, ((r, t) for _, r, t in own))
 
 
 def _frames(rows: Iterable[tuple], names: list[str], weight=lambda row: 1, most: int = 1 << 13) -> Iterator[pd.DataFrame]:
@@ -130,7 +156,8 @@ def _frames(rows: Iterable[tuple], names: list[str], weight=lambda row: 1, most:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    out["conv_id"] = out["conv_id"].astype("Int64")
+    for c in {"conv_id", "example"} & set(names):
+        out[c] = out[c].astype("Int64")
     return out
 
 
@@ -142,11 +169,21 @@ def format_examples(turns: DataFrame) -> DataFrame:
     """
     ship(turns.sparkSession)
     names = list(Example._fields)
-    return _ordered(turns).mapInPandas(lambda it: _frames(_conversations(it), names, lambda e: len(e.formatted), 1 << 23), EXAMPLES)
+    return _ordered(turns).mapInPandas(lambda it: _frames(_conversations(it, expand), names, lambda e: len(e.formatted), 1 << 23), EXAMPLES)
+
+
+def format_pieces(turns: DataFrame) -> DataFrame:
+    """The same examples without their copies: PIECES, a row for each turn. Of a conversation only one turn is held at a time.
+
+    Example k is the ``piece`` of all rows up to that with ``example`` k, by ``start``; odd rows are treated as in :func:`format_examples`.
+    """
+    ship(turns.sparkSession)
+    names = list(Piece._fields)
+    return _ordered(turns).mapInPandas(lambda it: _frames(_conversations(it), names, lambda p: len(p.piece), 1 << 23), PIECES)
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """One row (DIGEST) for each conversation, read back from its formatted examples as they are made."""
+    """One row (DIGEST) for each conversation, read back from its formatted pieces as they are made. Odd rows are treated as in :func:`format_examples`."""
     ship(turns.sparkSession)
     names = [x.split()[0] for x in DIGEST.split(", ")]
     return _ordered(turns).mapInPandas(lambda it: _frames(digests(_conversations(it)), names), DIGEST)

@@ -22,7 +22,11 @@ def test_examples_read_back_exactly(turns):
         if role == "assistant":
             assert list(chat.read_back(examples[k].formatted)) == turns[: i + 1]
             k += 1
-    (row,) = chat.digests(iter(examples))
+    parts = list(chat.pieces(1, turns))
+    assert len(parts) == len(turns) and "".join(p.piece for p in parts) == examples[-1].formatted
+    assert [p.start for p in parts] == [sum(len(q.piece) for q in parts[:i]) for i in range(len(parts))]
+    (row,) = chat.digests(iter(parts))
+    assert row[5] == sum(len(e.formatted) for e in examples)
     assert row[1] == len(turns) and row[3] == sum(map(len, replies))
     assert row[2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert row[4] == hashlib.sha256("".join(replies).encode()).hexdigest()
@@ -37,3 +41,16 @@ def test_odd_conversations(spark):
     examples = chat.format_examples(frame)
     assert examples.where("conv_id = 1").count() == 2
     assert chat.conversation_digests(frame.limit(0)).count() == 0
+    pieces = chat.format_pieces(frame)
+    assert pieces.count() == len(rows)
+    for e in examples.where("conv_id IS NOT NULL").collect():
+        own = sorted(pieces.where(f"conv_id = {e.conv_id} AND start < {len(e.formatted)}").collect(), key=lambda p: p.start)
+        assert "".join(p.piece for p in own) == e.formatted
+        assert (own[-1].example, own[-1].loss_start, own[-1].loss_end, own[-1].is_last) == (e.example, e.loss_start, e.loss_end, e.is_last)
+
+
+def test_a_long_conversation_is_linear():
+    turns = (("assistant" if i % 2 else "user", "x" * 1000) for i in range(100_000))
+    (row,) = chat.digests(chat.pieces(7, turns))
+    each = [1000 + len(chat.START) + len(chat.END) + 2 + len(r) for r in ("user", "assistant")]
+    assert row[1] == 100_000 and row[3] == 50_000_000 and row[5] == sum(each) * 50_000 * 50_001 // 2
