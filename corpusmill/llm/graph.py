@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.storage import discard, materialize
 
-SALTS = 8
+SALTS = 64
+
+
+def salts_of(salt: Column) -> Column:
+    """Aggregate: which of the SALTS values occur, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def each_salt(salts: Column) -> Column:
+    """A row for each value in the bits of :func:`salts_of`: one for a key of one row, SALTS for a very frequent key."""
+    return F.explode(F.filter(F.array(*map(F.lit, range(SALTS))), lambda i: F.getbit(salts, i) == 1))
+
+
+def _salted(links: DataFrame) -> DataFrame:
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """(u, m, salts) of salted links: the smallest neighbour of a node, and which salts its links have."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), salts_of(F.col("salt")).alias("salts"))
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` (u, v) with the ``m`` of ``least`` (u, m). A node with very many links is dealt to SALTS tasks."""
-    salted = least.select("u", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select("u", "v", "m")
+    """Salted ``links`` with the ``m`` of ``least``. A node with very many links is dealt to SALTS tasks, and ``least`` has no more rows than there are links."""
+    return links.join(least.select("u", "m", each_salt(F.col("salts")).alias("salt")), ["u", "salt"]).select("u", "v", "m")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    both = _salted(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _least(both).withColumn("m", F.least("u", "m"))
     return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    links = _salted(links)
+    least = _least(links)
     return _with_least(links, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

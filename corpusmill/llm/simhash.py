@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corpusmill.llm import graph
 from corpusmill.llm.graph import connected_components
 from corpusmill.llm.text import encoded, word_blocks
 from corpusmill.session import ship
@@ -125,18 +126,19 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
-def component_of(rows: DataFrame, member: str) -> DataFrame:
+def component_of(rows: DataFrame, member: str, *more: Column) -> DataFrame:
     """For ``rows`` (fp, ``member``): (fp, component), the smallest ``member`` among all fingerprints reachable.
 
-    A null member counts only where there is no other.
+    A null member counts only where there is no other. ``more`` are aggregates of a fingerprint's rows to be carried along.
     """
-    fps = materialize(rows.groupBy("fp").agg(F.min(member).alias("least")), "fps")
+    fps = materialize(rows.groupBy("fp").agg(F.min(member).alias("least"), *more), "fps")
+    carried = [c for c in fps.columns if c not in ("fp", "least")]
     roots = connected_components(links(fps.select("fp"))).withColumnRenamed("id", "fp")
-    linked = materialize(roots.join(fps, "fp"), "linked")
+    linked = materialize(roots.join(fps.select("fp", "least"), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     return materialize(
         fps.join(linked.join(least, "root").select("fp", "component", F.lit(True).alias("is_linked")), "fp", "left")
-        .select("fp", F.when(F.col("is_linked"), F.col("component")).otherwise(F.col("least")).alias("component")),
+        .select("fp", F.when(F.col("is_linked"), F.col("component")).otherwise(F.col("least")).alias("component"), *carried),
         "components",
     )
 
@@ -148,8 +150,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null and names its component only if all others in it are null too. Other columns are not read.
     """
     ship(docs.sparkSession)
-    rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
-    return rows.join(component_of(rows, "doc_id"), "fp", "left").select(
+    salt = (F.monotonically_increasing_id() % graph.SALTS).cast("int").alias("salt")
+    rows = materialize(docs.select("doc_id", fingerprint("text").alias("fp"), salt), "fingerprints")
+    found = component_of(rows, "doc_id", graph.salts_of(F.col("salt")).alias("salts"))
+    found = found.select("fp", "component", graph.each_salt(F.col("salts")).alias("salt"))  # copies of one text lie in as many tasks as salts
+    return rows.join(found, ["fp", "salt"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
