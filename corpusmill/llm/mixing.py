@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.sharding import slot_hash
-from corpusmill.storage import all_columns, free_names, materialize, table
+from corpusmill.storage import all_columns, free_names, materialize, numbered, table
 
 BINS = 1 << 12
 LEAST_LOG, MOST_LOG = -22.0, 8.0  # of the logarithms of exponentials that the bins tell apart
@@ -48,8 +48,8 @@ def targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3 and again. They share the sum of all sizes by weight; a target stops at
     ``most`` times its source, and the excess goes to the others by weight until none is above. Only sums reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = materialize(sizes.withColumn("w", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", most * F.col("source_size")), "sources")
+    ranked = numbered(sizes, F.col("source").asc_nulls_last(), "w")
+    weighed = materialize(ranked.withColumn("w", (F.col("w") - 1) % 3 + 1).withColumn("cap", most * F.col("source_size")), "sources")
     everything = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     level, capped = None, -1
     while True:
