@@ -56,6 +56,11 @@ def test_blocks_keep_cut_references(spark):
     assert [i.text for i in row["items"]] == ["Uno & dos token = &quot", f"{LONG} <a> \"b\" & c &quo", f"{LONG} © é x&lt3 &nosuch; ?a=1&copy=2"]
 
 
+def test_title_keeps_cut_references(spark):
+    (row,) = sections(spark, CUT)
+    assert row.title == "Uno & dos token = &quot"
+
+
 def test_main_block_and_sections(spark):
     a, b, c, d, e, f = sections(
         spark,
