@@ -61,6 +61,11 @@ def test_title_keeps_cut_references(spark):
     assert row.title == "Uno & dos token = &quot"
 
 
+def test_sections_keep_cut_references(spark):
+    (row,) = sections(spark, CUT)
+    assert [s.heading for s in row.sections] == ["Uno & dos token = &quot"] and row.sections[0].blocks[0].endswith("<a> \"b\" & c &quo")
+
+
 def test_main_block_and_sections(spark):
     a, b, c, d, e, f = sections(
         spark,
