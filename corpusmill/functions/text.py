@@ -27,6 +27,7 @@ BOILERPLATE = ["cargando", "leer mas", "menu", "pasar al contenido principal"]
 GONE = ["404 Not Found", "410 Gone"]
 
 TOKEN = r"[\p{L}\p{N}]+"
+SPELT = r"[\p{L}\p{N}\p{M}]+"
 MOST_TERMS = 12
 LEAST_TERM = 3
 LEAST_QUESTION, MOST_QUESTION = 3, 1000
@@ -43,6 +44,7 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+_BASE = str.maketrans(ACCENTED, PLAIN)
 
 
 def collapse(text: Column) -> Column:
@@ -133,6 +135,16 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.lower(text)), F.lit(TOKEN), F.lit(0))
 
 
+def spelt_tokens(text: Column) -> Column:
+    """The tokens of :func:`index_tokens` as they are spelt: with accents and marks. :func:`folded` makes those of them, or nothing of marks alone."""
+    return F.regexp_extract_all(F.lower(text), F.lit(SPELT), F.lit(0))
+
+
+def folded(token: str) -> str:
+    """:func:`fold` for one token."""
+    return token if token.isascii() else "".join(c for c in token.translate(_BASE) if unicodedata.category(c)[0] != "M")
+
+
 def query_tokens(question: Column, most: int = MOST_TERMS) -> Column:
     """Distinct terms in order: three letters or a number, and no stop word; folded like the index."""
     words = F.regexp_extract_all(F.lower(question), F.lit(TOKEN), F.lit(0))

@@ -209,7 +209,7 @@ def _apply(store: Store, pages: DataFrame, batch: int | None, run: int) -> dict:
     summary = sync.run_summary(planned, outcomes).first().asDict()
     new_chunks = fresh_chunks.join(done, "url", "left_semi")
     texts = new_chunks.join(read.select("url", "title", "subject"), "url").withColumn("chunk_id", F.concat_ws("#", "url", "ordinal"))
-    new_postings = lexical.postings(lexical.token_rows(texts)).withColumn("url", F.regexp_replace("chunk_id", "#[0-9]+$", ""))
+    new_postings = lexical.postings(texts).withColumn("url", F.regexp_replace("chunk_id", "#[0-9]+$", ""))
     store.commit(
         slots,
         batch,

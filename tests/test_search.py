@@ -168,3 +168,10 @@ def test_scores_do_not_depend_on_the_order_of_summation(spark):
     index = lexical.Index(spark.createDataFrame([(i, w, 1, float(c), 60) for i, w, c in rows], "chunk_id long, term string, tf long, wf double, length long"), spark.createDataFrame([(6000, 301072)], "chunks long, tokens long"))
     got = lexical.search(index, asked(spark, " ".join(words)), 600).orderBy("lexical_rank").collect()
     assert len({r.bm25 for r in got}) == 1 and [r.chunk_id for r in got] == list(range(600))
+
+
+def test_postings_are_counted_within_rows(spark):
+    rows = [(7, "u", "Área e\u0301l", "s", None, "el ÁREA 12 \u0301 area\u0301x"), (8, None, None, None, None, " \u0301 "), (9, "", "", "", "", "")]
+    made = lexical.postings(spark.createDataFrame(rows, FIELDS))
+    assert sorted(map(tuple, made.collect())) == [("12", 7, 1, 1.0, 7), ("area", 7, 2, 3.0, 7), ("areax", 7, 1, 1.0, 7), ("el", 7, 2, 3.0, 7), ("s", 7, 1, 1.0, 7)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
