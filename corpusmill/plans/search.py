@@ -10,9 +10,10 @@ from corpusmill.models import EchoGenerator, HashEmbedder
 from corpusmill.operators import answers, audit, hybrid, lexical, vectors
 from corpusmill.plans.base import CORPUS, SETTINGS, corpus, index, literal, query, questions, values
 from corpusmill.plans.scalar import ASKED_TERMS
-from corpusmill.storage import bounded, materialize, table
+from corpusmill.storage import bounded, is_broadcast, materialize, table
 
 K = 6
+MOST_HITS = 1_000_000  # of all questions, to be broadcast
 MODEL = SETTINGS.embedding_model
 
 
@@ -41,9 +42,9 @@ def bm25_topk(spark, sf_dir):
 
 
 # --- vectors
-def _stored(spark, sf_dir):
-    """Chunks with the vectors that they have, and their documents, all active."""
-    chunks = corpus(spark, sf_dir)
+def _stored(spark, sf_dir, chunks=None):
+    """Chunks, all or those given, with the vectors that they have, and their documents, all active."""
+    chunks = corpus(spark, sf_dir) if chunks is None else chunks
     found = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     rows = chunks.join(found, "chunk_id", "left").withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), MODEL))
     return rows.select("chunk_id", "url", "heading", "text", "embedding", "embedding_model"), chunks.select("url", "title", "subject", F.lit(True).alias("active"))
@@ -117,8 +118,12 @@ def _hits(spark, sf_dir):
 
 
 def _reranked(spark, sf_dir):
-    with_vector = corpus(spark, sf_dir).join(_vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
-    return hybrid.rerank(hybrid.fuse(*_hits(spark, sf_dir)), questions(spark, sf_dir), with_vector)
+    """Only texts that were hit leave the scan: the hits are few, and are broadcast where that was checked."""
+    fused = bounded(hybrid.fuse(*_hits(spark, sf_dir)), MOST_HITS, "fused")
+    keys = fused.select("chunk_id")
+    hit = materialize(corpus(spark, sf_dir).join(F.broadcast(keys) if is_broadcast(fused) else keys, "chunk_id", "left_semi"), "hit")
+    with_vector = hit.join(vectors.scan(*_stored(spark, sf_dir, hit), MODEL).select("chunk_id"), "chunk_id", "left_semi")
+    return hybrid.rerank(fused, questions(spark, sf_dir), with_vector)
 
 
 def _found(spark, sf_dir, k=K):

@@ -175,3 +175,12 @@ def test_postings_are_counted_within_rows(spark):
     made = lexical.postings(spark.createDataFrame(rows, FIELDS))
     assert sorted(map(tuple, made.collect())) == [("12", 7, 1, 1.0, 7), ("area", 7, 2, 3.0, 7), ("areax", 7, 1, 1.0, 7), ("el", 7, 2, 3.0, 7), ("s", 7, 1, 1.0, 7)]
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_that_were_not_hit_are_not_shuffled(spark, monkeypatch):
+    from corpusmill.plans import search
+
+    plans, write = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    assert search._reranked(spark, "/root/testdata/sf0.001").count() > 0
+    assert "BroadcastHashJoin" in plans["hit"] and "hashpartitioning" not in plans["hit"]
