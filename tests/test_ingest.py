@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.models import HashEmbedder
 from corpusmill.operators import extract, lexical, sync
 from corpusmill.plans import ingest
-from corpusmill.plans.base import SITE
+from corpusmill.plans.base import ORACLES, QUERIES, SITE
 from corpusmill.sources import markup
 from corpusmill.streaming.sync import PAGES, Store, apply, follow
 
@@ -66,6 +67,24 @@ def test_sections_keep_cut_references(spark):
     assert [s.heading for s in row.sections] == ["Uno & dos token = &quot"] and row.sections[0].blocks[0].endswith("<a> \"b\" & c &quo")
 
 
+def against_sql(spark, folder, name, *titles):
+    """The rows of a query and of its SQL that only one of them has, over pages of these titles as markup."""
+    rows = [(i, f"u{i}", page(f"<article><h1>{t}</h1><p>{LONG}</p><p>dos &amp; tres</p></article>")) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    got = QUERIES[name](spark, str(folder)).select(*(c[0] for c in want.description))
+    return {tuple(r) for r in got.collect()} ^ set(want.fetchall())
+
+
+CUT_TITLES = ["token = &quot;x&quot; y&amp;&quot;z"[:k] for k in range(34)]
+
+
+def test_titles_cut_anywhere_match_their_sql(spark, tmp_path):
+    assert not against_sql(spark, tmp_path, "extract_title", *CUT_TITLES)
+
+
 def test_main_block_and_sections(spark):
     a, b, c, d, e, f = sections(
         spark,
