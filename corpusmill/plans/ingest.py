@@ -140,7 +140,9 @@ def extract_title(spark, sf_dir):
 
 @query(f"WITH {_BLOCKS} SELECT url, 0 AS section_no, heading, blocks FROM sections WHERE n >= {extract.LEAST_SECTION}")
 def sectionise(spark, sf_dir):
-    return _read(spark, sf_dir).select("url", F.posexplode("sections").alias("section_no", "s")).select("url", "section_no", "s.heading", F.array_join("s.blocks", "\n").alias("blocks"))
+    """The sections of pages. One before any heading has none."""
+    rows = _read(spark, sf_dir).select("url", F.posexplode("sections").alias("section_no", "s"))
+    return rows.select("url", "section_no", F.nullif("s.heading", F.lit("")).alias("heading"), F.array_join("s.blocks", "\n").alias("blocks"))
 
 
 @query(f"WITH {_BLOCKS} SELECT url, '{markup.NO_TEXT}' AS error FROM sections WHERE coalesce(n, 0) < {extract.LEAST_SECTION} UNION ALL SELECT url, error FROM {values([('-1', markup.NO_MAIN), ('-3', markup.NO_MAIN)], 'url, error')}")

@@ -85,6 +85,14 @@ def test_titles_cut_anywhere_match_their_sql(spark, tmp_path):
     assert not against_sql(spark, tmp_path, "extract_title", *CUT_TITLES)
 
 
+def test_sections_cut_anywhere_match_their_sql(spark, tmp_path):
+    assert not against_sql(spark, tmp_path, "sectionise", *CUT_TITLES[1:])
+
+
+def test_sections_without_a_heading_match_their_sql(spark, tmp_path):
+    assert not against_sql(spark, tmp_path, "sectionise", "", " ", "Uno")
+
+
 def test_main_block_and_sections(spark):
     a, b, c, d, e, f = sections(
         spark,
