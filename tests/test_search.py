@@ -1,4 +1,5 @@
 import math
+import random
 import sqlite3
 
 import numpy as np
@@ -184,3 +185,13 @@ def test_texts_that_were_not_hit_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(search, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
     assert search._reranked(spark, "/root/testdata/sf0.001").count() > 0
     assert "BroadcastHashJoin" in plans["hit"] and "hashpartitioning" not in plans["hit"]
+
+
+def test_fusion_ranks_equal_parts_by_chunk(spark):
+    """Equal parts in another order are equal scores, so the ranks that fusion takes follow chunk_id."""
+    words, counts = [f"w{i:02d}" for i in range(12)], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    rows = [(i, words[j], 1, float(counts[(i + j) % 12]), 60) for i in range(600) for j in range(12)]
+    index = lexical.Index(spark.createDataFrame(rows, "chunk_id long, term string, tf long, wf double, length long"), spark.createDataFrame([(6000, 301072)], "chunks long, tokens long"))
+    none = spark.createDataFrame([], "qid long, chunk_id long, sim double, semantic_rank int")
+    got = hybrid.fuse(none, lexical.search(index, asked(spark, " ".join(words)), 600)).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.lexical_rank) for r in got] == [(i, i + 1) for i in range(600)]
