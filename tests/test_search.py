@@ -195,3 +195,24 @@ def test_fusion_ranks_equal_parts_by_chunk(spark):
     none = spark.createDataFrame([], "qid long, chunk_id long, sim double, semantic_rank int")
     got = hybrid.fuse(none, lexical.search(index, asked(spark, " ".join(words)), 600)).orderBy("chunk_id").collect()
     assert [(r.chunk_id, r.lexical_rank) for r in got] == [(i, i + 1) for i in range(600)]
+
+
+def test_chat_events_shuffle_no_texts(spark, tmp_path):
+    """Of a corpus that the questions hardly hit, neither texts nor tokens are shuffled, also where the index is built first."""
+    from corpusmill.plans import search
+
+    rng = random.Random(3)
+    texts = ["alfa beta gamma delta epsilon", *(" ".join(f"{rng.getrandbits(64):016x}" for _ in range(600)) for _ in range(600))]
+    spark.createDataFrame([(i, t, "es", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alfa beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = shuffled()
+    assert search.chat_events(spark, str(tmp_path)).where("qid = 0").count() == 3
+    assert 0 < shuffled() - before < sum(map(len, texts)) / 20
